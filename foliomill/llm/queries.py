@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import boilerplate, encoding, leakage, lookalike, quality, repeated_lines, residue
+from foliomill.llm import boilerplate, encoding, language, leakage, lookalike, mixing, quality, reading, repeated_lines, residue
 from foliomill.llm.common import table
 
 
@@ -27,6 +27,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_restored(spark, d).select("src_table", "row_id", "field")
 
 
+def p3_works(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "books"), table(spark, d, "chapters"), table(spark, d, "documents"))[0]
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "books"), table(spark, d, "chapters"), table(spark, d, "documents"))[1]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found(table(spark, d, "books"), table(spark, d, "chapters"), table(spark, d, "documents"))
+
+
 def p4_main_content(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_content(table(spark, d, "chapters"))
 
@@ -68,11 +80,31 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix_report(mixing.mixture(table(spark, d, "documents"), targets), targets)
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_levels(spark, d).where("level = 4").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_statistics": p1_statistics,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
+    "p3_found": p3_found,
+    "p3_works": p3_works,
+    "p3_segments": p3_segments,
     "p4_found": p4_found,
     "p4_main_content": p4_main_content,
     "p5_found": p5_found,
@@ -83,4 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_messages": p7_messages,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p9_mixture": p9_mixture,
+    "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
 }
