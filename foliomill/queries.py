@@ -1,4 +1,7 @@
 """The registered queries of the core and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from foliomill.plans import blocks, scalars, store, weights
+
+_PARTS = (weights, store, scalars, blocks)
+QUERIES = {name: fn for part in _PARTS for name, fn in part.query.queries.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.query.sql.items()}
