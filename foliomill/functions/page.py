@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from urllib.parse import urljoin, urlsplit
 
 from foliomill.functions.htmltree import Node, either, has, ident, inside, normalize, parse, tag
+from foliomill.functions.loose import embedded_object
 
 Test = Callable[[Node], bool]
 
@@ -378,11 +379,34 @@ def adapter_name(url: str) -> str:
     return next((name for p, name in routes if re.search(p, host)), "generic")
 
 
+def embedded_meta(url: str, html: str | None) -> dict | None:
+    """Metadata and parts from the story object a page embeds; None without one."""
+    story = embedded_object(html)
+    if not story:
+        return None
+    text = lambda v: normalize(v) if isinstance(v, str) else ""
+    language = story.get("language") or {}
+    spoken = (language.get("name") or "").lower() if isinstance(language, dict) else ""
+    parts = [(sanitize(text(p.get("title"))), absolute(p.get("url") or "", url)) for p in story["parts"] if isinstance(p, dict)]
+    return {
+        "adapter": "wattpad",
+        "host": origin(url),
+        "title": text(story.get("title")) or "بدون عنوان",
+        "author": pick_string({"name": (story.get("user") or {}).get("name") or ""}) if isinstance(story.get("user"), dict) else "",
+        "description": text(story.get("description")),
+        "language_code": next((code for pattern, code in (("عرب|arab", "ar"), ("fran|fren", "fr"), ("engl", "en")) if re.search(pattern, spoken)), "ar"),
+        "cover_url": absolute(story.get("cover") or "", url),
+        "chapters": _numbered([(t, u) for t, u in parts if u]) or [{"idx": 1, "title": text(story.get("title")), "url": url}],
+    }
+
+
 def book_meta(url: str, html: str | None) -> dict:
     """Title, author, description, language, cover and ordered parts of a work's page.
 
     A page without links to parts is itself the only part."""
     name = adapter_name(url)
+    if name == "wattpad" and (found := embedded_meta(url, html)):
+        return found
     rules = ADAPTERS.get(name, ADAPTERS["generic"])
     doc = parse(html)
     said, seen = meta(doc, "og:title", "twitter:title"), sanitize(text_of(doc, tag("h1")))
@@ -409,7 +433,13 @@ def book_meta(url: str, html: str | None) -> dict:
 
 
 def chapter(url: str, html: str | None, title: str = "") -> dict:
-    """Title and blocks of a part's page."""
+    """Title and blocks of a part's page. A refusal in plain text has no blocks; a bare
+    fragment, as story services send it, is taken whole."""
+    if adapter_name(url) == "wattpad":
+        if (html or "").lstrip().startswith("ERROR"):
+            return {"title": title, "blocks": []}
+        if "<html" not in (html or "").lower():
+            return {"title": title, "blocks": clean(element_blocks(parse(html).without(is_junk), url), title)}
     rules = ADAPTERS.get(adapter_name(url), ADAPTERS["generic"])
     doc = parse(html)
     found = next((t for test in rules.title if (t := sanitize(text_of(doc, test)))), "") or sanitize(meta(doc, "og:title"))
