@@ -150,12 +150,13 @@ def _swapped_arabic(text: str, read_as: str) -> str | None:
     if _BOXES.search(text):
         return None
     table = _swap(read_as, "cp1256")
-    whole = 0
+    whole, letters = 0, set()
     for run in _high_run(read_as).findall(text):
         plain = run.translate(table)
         if _ARABIC_PART.fullmatch(plain) and len(_ARABIC_WORD.search(plain + "ا").group()) >= 3:
             whole += 1 + (plain.startswith("ال") and len(plain) > 3)
-    if whole < 2:
+            letters.update(plain)
+    if whole < 2 or len(letters) < 5:
         return None
     lines = []
     for line in text.split("\n"):
@@ -179,7 +180,7 @@ _MAC_ODD = re.compile(
 )
 _MAC_TURNED = re.compile("[A-Za-z\u00a1\u00ab\u00bb\u00bf-\u00ff\u0152\u0153\u2013-\u201e\u2022\u2026 \\s.,;:!?()'\"\\d\u00a0\u00a9|/_-]+")
 _ARABIC_IN_LATIN = re.compile(
-    "[\u061f\u0621-\u06ff](?:(?<=[A-Za-z\u00c0-\u00ff].)[\u0621-\u06ff]*(?=[A-Za-z\u00c0-\u00ff])|(?<=\u061f)(?=[A-Z])"
+    "[\u061f\u0621-\u06ff](?:(?<=[\u064b-\u0652])(?<![\u0600-\u06ff].)(?=[a-z])|(?<=[A-Za-z\u00c0-\u00ff].)[\u0621-\u06ff]*(?=[A-Za-z\u00c0-\u00ff])|(?<=\u061f)(?=[A-Z])"
     "|(?<=[a-z][a-z][\u0621-\u0652])(?=[ .,;:!?\\n]|$))"
 )
 

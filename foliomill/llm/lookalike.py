@@ -31,8 +31,9 @@ SCRIPT_LETTERS = (
 )
 #: Persian letters that look like an Arabic one.
 ARABIC_LETTERS = ("ك ک", "ي ی", "ه ہ")
-#: Letters of which a word is Persian or Urdu, not misspelt Arabic.
+#: Letters of which a text is Persian or Urdu, not misspelt Arabic.
 PERSIAN_ONLY = "پچژگٹڈڑںھے"
+_PERSIAN_TEXT = re.compile(f"[{PERSIAN_ONLY}]")
 #: Characters without any visible form.
 INVISIBLE = (
     [0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0xFEFF, 0x3164, 0xFFA0]
@@ -174,11 +175,12 @@ def _truly_other(text: str, i: int) -> bool:
     """Whether the look-alike letter at ``i`` is part of a word truly of its script.
 
     It is not, if its word also has letters of the script looked like, or if all
-    its letters have look-alikes and no neighbouring word is of its script."""
+    its letters have look-alikes and no neighbouring word is of its script. Persian
+    letters are meant in texts that have letters only Persian or Urdu has."""
+    if text[i] in _PERSIAN:
+        return bool(_PERSIAN_TEXT.search(text))
     a, b = _word_at(text, i)
     word = text[a:b]
-    if text[i] in _PERSIAN:
-        return any(ch in PERSIAN_ONLY for ch in word)
     scripts = {script(ch) for ch in word} - {""}
     if "Latin" in scripts:
         return False

@@ -74,8 +74,8 @@ def running_prose(f: dict[str, float]) -> bool:
         return False
     if f["token"] > 22 and f["words"] < 40:
         return False  # no word is that long: encoded bytes
-    if n >= 6 and f["distinct"] < 0.3:
-        return False
+    if n >= 6 and f["distinct"] * n < 0.3 * min(n, 40):
+        return False  # a few words over and over
     if f["bullet"] and n < 12:
         return False
     if f["ends"]:
