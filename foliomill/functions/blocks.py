@@ -27,12 +27,22 @@ def drop_blank(blocks: Column) -> Column:
     return F.filter(blocks, lambda b: (b["type"] != "p") | (trimmed(F.coalesce(b["text"], F.lit(""))) != ""))
 
 
+def _flat(text: Column) -> Column:
+    return F.regexp_replace(trimmed(F.coalesce(text, F.lit(""))), r"\s+", " ")
+
+
+def _noise(kind: Column, t: Column, head: Column) -> Column:
+    """Noise by a block's kind, its trimmed text and the flattened title. Cheap tests that
+    any noise must pass come first, so long paragraphs meet no pattern."""
+    short = (F.length(t) <= 64) | t.rlike(r"\s{9}|\d{9}")
+    said = t.rlike(r"^\d{1,5}$") | t.rlike(NOISE_EXACT) | t.rlike(NOISE_LINE) | t.rlike(r"(?iu)^(?:الفصل|chapter)\s+\d+\s*$")
+    title = (head != "") & (F.length(t) >= F.length(head)) & (F.left(t, F.lit(1)) == F.left(head, F.lit(1))) & (F.regexp_replace(t, r"\s+", " ") == head)
+    return (kind == "p") & (t != "") & ((short & said) | title)
+
+
 def is_noise(kind: Column, text: Column, title: Column) -> Column:
     """Whether a paragraph is a counter, a navigation word or the title again."""
-    t = trimmed(F.coalesce(text, F.lit("")))
-    flat = lambda c: F.regexp_replace(trimmed(F.coalesce(c, F.lit(""))), r"\s+", " ")
-    said = t.rlike(r"^\d{1,5}$") | t.rlike(NOISE_EXACT) | t.rlike(NOISE_LINE) | t.rlike(r"(?iu)^(?:الفصل|chapter)\s+\d+\s*$")
-    return (kind == "p") & (t != "") & (said | ((flat(title) != "") & (flat(text) == flat(title))))
+    return _noise(kind, trimmed(F.coalesce(text, F.lit(""))), _flat(title))
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -54,8 +64,16 @@ def first_of_text(blocks: Column) -> Column:
 
 def clean(blocks: Column, title: Column) -> Column:
     """Without noise and blank texts, each text once."""
-    kept = F.filter(blocks, lambda b: ~is_noise(b["type"], b["text"], title) & (~b["type"].isin("p", "h") | (trimmed(F.coalesce(b["text"], F.lit(""))) != "")))
-    return bound(kept, first_of_text)
+    is_text = lambda x: x["b"]["type"].isin("p", "h")
+    pairs = F.transform(blocks, lambda b: F.struct(b.alias("b"), trimmed(F.coalesce(b["text"], F.lit(""))).alias("t")))
+    kept = lambda head: F.filter(pairs, lambda x: (~is_text(x) | (x["t"] != "")) & ~_noise(x["b"]["type"], x["t"], head))
+
+    def first(items: Column) -> Column:
+        keys = F.transform(items, lambda x: F.when(is_text(x), x["t"]))
+        unique = lambda ks: F.filter(items, lambda x, i: ks[i].isNull() | (F.array_position(ks, ks[i]) == i + 1))
+        return F.transform(bound(keys, unique), lambda x: x["b"])
+
+    return bound(bound(_flat(title), kept), first)
 
 
 def plain_text(blocks: Column, separator: str = "\n") -> Column:
