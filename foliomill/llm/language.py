@@ -303,7 +303,7 @@ def label_texts(rows: DataFrame, model: LinearChain) -> DataFrame:
     """``book_id``, ``chapter_id``, ``mass`` (expected words of each language) and
     ``segments`` of rows (``book_id``, ``chapter_id``, ``title``, ``text``).
 
-    Only the document's own lines are labelled. Texts in place of content have no
+    Only the document's own lines are labelled, garbled characters restored first. Texts in place of content have no
     mass; texts that aren't prose keep their mass but have no segments.
     """
     sent = rows.sparkSession.sparkContext.broadcast(model)
@@ -312,7 +312,7 @@ def label_texts(rows: DataFrame, model: LinearChain) -> DataFrame:
         labeller = Labeller(sent.value)
         languages = sent.value.languages
 
-        def split(text: str, lines: list[str], own: list[bool]) -> tuple[list[str], list[int]]:
+        def split(lines: list[str], own: list[bool]) -> tuple[list[str], list[int]]:
             words: list[str] = []
             lengths: list[int] = []
             for x, mine in zip(lines, own):
@@ -327,21 +327,14 @@ def label_texts(rows: DataFrame, model: LinearChain) -> DataFrame:
             out: dict[str, list] = {"book_id": [], "chapter_id": [], "mass": [], "segments": []}
             rows = [x for x in zip(cols["book_id"], cols["chapter_id"], cols["title"], cols["text"]) if x[3] and not x[3].isspace() and not is_residue(x[3], x[2])]
             for a in range(0, len(rows), CHUNK):
-                part = rows[a : a + CHUNK]
+                part = [(b, c, h, repair(t)[1]) for b, c, h, t in rows[a : a + CHUNK]]
                 lined = own_lines([r[3] for r in part], [r[2] for r in part])
-                parts = [split(r[3], *x) for r, x in zip(part, lined)]
-                for r, x, (words, lengths), m in zip(part, lined, parts, labeller.label([w for w, _ in parts])):
+                parts = [split(*x) for x in lined]
+                for r, x, (_, lengths), m in zip(part, lined, parts, labeller.label([w for w, _ in parts])):
                     segs = segments(m, lengths, languages)
                     mass = m.sum(0)
-                    if len({s[0] for s in segs if s[2] >= SENTENCES}) > 1:
-                        bad, text, _ = repair(r[3])
-                        if bad:
-                            x = own_lines([text], [r[2]])[0]
-                            words, lengths = split(text, *x)
-                            m = labeller.label([words])[0]
-                            segs, mass = segments(m, lengths, languages), m.sum(0)
-                        if quality.document_statistics(*x)["kind"] != "prose":
-                            segs = []
+                    if len({s[0] for s in segs if s[2] >= SENTENCES}) > 1 and quality.document_statistics(*x)["kind"] != "prose":
+                        segs = []
                     out["book_id"].append(r[0]), out["chapter_id"].append(r[1])
                     out["mass"].append(mass.tolist()), out["segments"].append([dict(zip(("lang", "first", "sentences", "confidence"), s)) for s in segs])
             return out
