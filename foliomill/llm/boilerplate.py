@@ -22,9 +22,9 @@ from foliomill.llm.furniture import site_lines
 from foliomill.llm.residue import HEADING, is_residue
 
 #: Documents of the training sample, at most.
-SAMPLE_DOCUMENTS = 1600
+SAMPLE_DOCUMENTS = 2400
 BUCKETS = 8192
-WORD_DIM, HIDDEN, EPOCHS, BATCH, RATE = 24, 24, 6, 64, 0.016
+WORD_DIM, HIDDEN, EPOCHS, BATCH, RATE = 24, 24, 8, 64, 0.016
 CHUNK = 512
 TAGS = ("p", "h", "img")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[|/·»©↑★:–—=]")
