@@ -128,6 +128,16 @@ def call_to_action(label: Column) -> Column:
     )
 
 
+#: Labels of facts that stand between the lines of a summary.
+FACT_LABELS = "كتبت بتاريخ|عدد الفصول|حالة الرواية|اللغة|آخر تحديث|المشاهدات|التقييم|الناشر|سنة النشر"
+
+
+def summary_lines(text: Column) -> Column:
+    """A summary without blank lines and labelled facts."""
+    lines = F.filter(F.transform(F.split(text, r"\n+"), trimmed), lambda x: (x != "") & ~x.rlike(f"^(?:{FACT_LABELS})"))
+    return normalize(F.array_join(lines, "\n"))
+
+
 def escape_html(text: Column) -> Column:
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(raw), F.lit(entity))

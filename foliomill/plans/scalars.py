@@ -215,3 +215,19 @@ def generic_number(spark, d):
 @query("SELECT src, '/api/image?u=' || replace(replace(src, ':', '%3A'), '/', '%2F') || '&r=https%3A%2F%2Fexample.org%2F' AS path FROM images")
 def proxied_image(spark, d):
     return table(spark, d, "images").select("src", T.proxied(F.col("src"), F.lit("https://example.org/")).alias("path"))
+
+
+_FACTS = "^(?:كتبت بتاريخ|عدد الفصول|حالة الرواية|اللغة|آخر تحديث|المشاهدات|التقييم|الناشر|سنة النشر)"
+_MIXED = "description || chr(10) || chr(10) || 'اللغة: ' || coalesce(language_code, '') || chr(10) || ' ' || title"
+_SUMMED = f"array_to_string(list_filter(list_transform(regexp_split_to_array({_MIXED}, '\\n+'), lambda x: {_TRIM.format('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '{_FACTS}')), chr(10))"
+
+
+@query(f"SELECT book_id, {_norm(_SUMMED)} AS summary FROM books")
+def summary_lines(spark, d):
+    mixed = F.concat(F.col("description"), F.lit("\n\nاللغة: "), F.coalesce("language_code", F.lit("")), F.lit("\n "), F.col("title"))
+    return table(spark, d, "books").select("book_id", T.summary_lines(mixed).alias("summary"))
+
+
+@query("SELECT src, CASE lower(mime) WHEN 'image/png' THEN 'png' WHEN 'image/gif' THEN 'gif' WHEN 'image/webp' THEN 'webp' WHEN 'image/avif' THEN 'avif' WHEN 'image/bmp' THEN 'bmp' WHEN 'image/svg+xml' THEN 'svg' ELSE 'jpg' END AS extension FROM images")
+def extension_for_mime(spark, d):
+    return table(spark, d, "images").select("src", T.lookup(T.IMAGE_EXTENSIONS, F.lower("mime"), "jpg").alias("extension"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
+from foliomill.functions import url as U
 from foliomill.operators import ranking, store
 from foliomill.plans.registry import CURRENT, LISTING, Registry, table
 
@@ -171,7 +172,7 @@ def book_with_chapters(spark, d):
 @query(f"WITH {LISTING} SELECT book_id, idx, url, CAST(row_number() OVER (PARTITION BY book_id ORDER BY idx, url) AS INTEGER) AS n FROM refs WHERE url <> ''")
 def dense_index(spark, d):
     refs = store.listing(table(spark, d, "chapter_refs")).where("url <> ''")
-    return ranking.dense_index(refs, "book_id", [F.col("idx"), F.col("url")]).select("book_id", "idx", "url", "n")
+    return ranking.dense_index(refs, "book_id", [F.col("idx"), F.col("url")], ranking.ranges(F.col("idx"))).select("book_id", "idx", "url", "n")
 
 
 _ORD = r"""coalesce(try_cast(nullif(regexp_extract(title, '(?i)(?:الفصل|الجزء|chapter|chapitre|part|episode)\s*[-_#]*\s*(\d{1,4})', 1), '') AS INTEGER),
@@ -181,13 +182,13 @@ _ORD = r"""coalesce(try_cast(nullif(regexp_extract(title, '(?i)(?:الفصل|ا
 @query(f"WITH {LISTING} SELECT book_id, url, idx, {_ORD} AS ordinal, CAST(row_number() OVER (PARTITION BY book_id ORDER BY {_ORD} NULLS LAST, idx) AS INTEGER) AS n FROM refs")
 def ordinal_sort(spark, d):
     refs = store.listing(table(spark, d, "chapter_refs")).withColumn("ordinal", T.chapter_ordinal(F.col("title"), F.col("url")))
-    return ranking.dense_index(refs, "book_id", [F.col("ordinal").asc_nulls_last(), F.col("idx")]).select("book_id", "url", "idx", "ordinal", "n")
+    return ranking.dense_index(refs, "book_id", [F.col("ordinal").asc_nulls_last(), F.col("idx")], ranking.ranges(F.col("ordinal"))).select("book_id", "url", "idx", "ordinal", "n")
 
 
 @query(f"WITH {CURRENT} SELECT book_id, idx, CAST(row_number() OVER (PARTITION BY book_id ORDER BY idx) AS INTEGER) AS play_order FROM cur WHERE status = 'done'")
 def play_order(spark, d):
     rows = store.current(table(spark, d, "chapters").select("chapter_id", "book_id", "idx", "status", "fetched_at")).where("status = 'done'")
-    return ranking.dense_index(rows.select("book_id", "idx"), "book_id", [F.col("idx")], "play_order")
+    return ranking.dense_index(rows.select("book_id", "idx"), "book_id", [F.col("idx")], ranking.ranges(F.col("idx")), "play_order")
 
 
 @query(
@@ -225,7 +226,7 @@ def distinct_images(spark, d):
 def byte_budget(spark, d):
     firsts = ranking.first_occurrences(_image_refs(spark, d), ["book_id", "src"], [F.col("idx"), F.col("pos")])
     sized = firsts.join(table(spark, d, "images").select("src", F.length("bytes").alias("size")), "src")
-    return ranking.within_budget(sized, "book_id", [F.col("idx"), F.col("pos")], "size", 400, 400).select("book_id", "src", "running", "n")
+    return ranking.within_budget(sized, "book_id", [F.col("idx"), F.col("pos")], ranking.ranges(F.col("idx")), "size", 400, 400).select("book_id", "src", "running", "n")
 
 
 @query(
@@ -271,3 +272,25 @@ def status_label(spark, d):
     open_, bad = F.col("pending") + F.col("fetching"), F.col("failed") + F.col("empty")
     label = F.when((open_ == 0) & (F.col("done") > 0) & (bad == 0), "ready").when(F.col("done") > 0, F.concat(F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string")))
     return store.status_counts(table(spark, d, "chapters")).select("book_id", label.when(open_ == 0, "failed").otherwise("importing").alias("label"))
+
+
+@query(
+    rf"""WITH {LISTING}, n AS (SELECT *, try_cast(nullif(regexp_extract(url, '(?i)chapters/(\d+)', 1), '') AS BIGINT) AS number FROM refs)
+    SELECT book_id, url, number, CAST(row_number() OVER (PARTITION BY book_id ORDER BY number NULLS LAST, idx) AS INTEGER) AS n FROM n"""
+)
+def modern_order(spark, d):
+    refs = store.listing(table(spark, d, "chapter_refs")).withColumn("number", U.modern_number(F.col("url")))
+    return ranking.dense_index(refs, "book_id", [F.col("number").asc_nulls_last(), F.col("idx")], ranking.ranges(F.col("number"))).select("book_id", "url", "number", "n")
+
+
+@query(
+    f"""WITH {LISTING}, n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY idx) AS n, count(*) OVER (PARTITION BY book_id) AS total FROM refs)
+    SELECT r.book_id, CASE WHEN total < 2 THEN b.source_url ELSE r.url END AS url, CAST(n AS INTEGER) AS n FROM n r JOIN books b ON r.book_id = b.book_id WHERE n <= 500"""
+)
+def listing_limit(spark, d):
+    """The first 500 parts of a listing; a single link means the work's page is its part."""
+    refs = store.listing(table(spark, d, "chapter_refs"))
+    totals = refs.groupBy("book_id").agg(F.count("*").alias("total"))
+    rows = ranking.dense_index(refs, "book_id", [F.col("idx")], ranking.ranges(F.col("idx"))).where("n <= 500")
+    rows = rows.join(totals, "book_id").join(table(spark, d, "books").select("book_id", "source_url"), "book_id")
+    return rows.select("book_id", F.when(F.col("total") < 2, F.col("source_url")).otherwise(F.col("url")).alias("url"), "n")

@@ -81,9 +81,13 @@ def test_weights_of_empty_and_null(make_chapters, make_books):
 
 
 def test_ranking(spark):
-    df = spark.createDataFrame([(1, k, 10) for k in range(5)] + [(2, 0, 99)], "g int, k int, s int")
-    assert rows(ranking.within_budget(df, "g", [F.col("k")], "s", 35, 9), "g", "k") == [(1, 0), (1, 1), (1, 2)]
-    assert rows(ranking.dense_index(df, "g", [F.col("k").desc()]), "g", "n")[:2] == [(1, 1), (1, 2)]
+    df = spark.createDataFrame([(1, 900 * k, 10) for k in range(5)] + [(2, 0, 99), (None, 7, 1), (None, None, 1), (3, 1, None)], "g int, k int, s int")
+    coarse = ranking.ranges(F.col("k"))
+    got = rows(ranking.within_budget(df, "g", [F.col("k")], coarse, "s", 35, 9), "g", "k", "running", "n")
+    assert sorted(x for x in got if x[0] == 1) == [(1, 0, 10, 1), (1, 900, 20, 2), (1, 1800, 30, 3)] and (3, 1, 0, 1) in got and not any(x[0] == 2 for x in got)
+    numbered = rows(ranking.dense_index(df, "g", [F.col("k").asc_nulls_last()], coarse), "g", "k", "n")
+    assert sorted(x[1:] for x in numbered if x[0] == 1) == [(900 * k, k + 1) for k in range(5)]
+    assert (None, 7, 1) in numbered and (None, None, 2) in numbered
 
 
 def test_scalars(spark):
