@@ -180,7 +180,7 @@ _MAC_ODD = re.compile(
 )
 _MAC_TURNED = re.compile("[A-Za-z\u00a1\u00ab\u00bb\u00bf-\u00ff\u0152\u0153\u2013-\u201e\u2022\u2026 \\s.,;:!?()'\"\\d\u00a0\u00a9|/_-]+")
 _ARABIC_IN_LATIN = re.compile(
-    "[\u061f\u0621-\u06ff](?:(?<=[\u064b-\u0652])(?<![\u0600-\u06ff].)(?=[a-z])|(?<=[A-Za-z\u00c0-\u00ff].)[\u0621-\u06ff]*(?=[A-Za-z\u00c0-\u00ff])|(?<=\u061f)(?=[A-Z])"
+    "[\u061f\u0621-\u06ff](?:(?<=[\u0621-\u0627\u0629-\u0640\u064b-\u06ff])(?<![\u0600-\u06ff].)(?=[a-z])|(?<![^\\s]\u06c1)(?<=\u06c1)(?= [a-z])|(?<=[A-Za-z\u00c0-\u00ff].)[\u0621-\u06ff]*(?=[A-Za-z\u00c0-\u00ff])|(?<=\u061f)(?=[A-Z])"
     "|(?<=[a-z][a-z][\u0621-\u0652])(?=[ .,;:!?\\n]|$))"
 )
 
