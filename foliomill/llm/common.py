@@ -28,9 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     ``spark.checkpoint.dir``; only where that is unset (tests, local runs) a
     temporary folder of this machine is set.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliomill-"))
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliomill-"))
     return df.checkpoint(eager=True)
 
 

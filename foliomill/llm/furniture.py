@@ -52,6 +52,8 @@ _BOX = re.compile(
     r"|andere leser|diese reihen|diese woche|schlagworte|autoren des|top-autoren|قراء آخرون|قد تعجبك|الأكثر قراءة|وسوم رائجة|مؤلفو الشهر|أفضل مؤلفي)",
     re.I,
 )
+#: What titles listed in a box don't have: digits, columns, bullets, leaders.
+_NO_TITLE = re.compile(r"[\d\t;=\[\]|]|^\s*[•*►▪◦-]\s|—|·{2}|\.{3}|->|[,،].*[,،]")
 #: A reader's name with a number, then what they wrote.
 _COMMENT = r"^\pL+_?\d+\s*(?::|–|-|—)\s"
 _ENDS = re.compile(r"[.!?؟…][»”“\"’')\]]*\s*$")
@@ -89,7 +91,7 @@ def site_lines(documents: list[list[str]], titles: list[str | None]) -> list[lis
             if not s:
                 continue
             if box and not own[k]:
-                box = len(s) <= 90 and not _ENDS.search(s) and not HEADING.match(s) and s.casefold() != " ".join((title or "").split()).casefold()
+                box = len(s) <= 90 and not _ENDS.search(s) and not _NO_TITLE.search(s) and not HEADING.match(s) and s.casefold() != " ".join((title or "").split()).casefold()
                 own[k] = box
             else:
                 box = bool(own[k] and _BOX.match(s))

@@ -24,6 +24,9 @@ from foliomill.llm.quality import line_statistics
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: Bins of keys of a source; two rounds of them leave 1 in BINS**2 rows to order.
 BINS = 512
+#: Tables with a row per target are broadcast up to so many targets; beyond, the planner
+#: joins them by shuffle and splits the hot sources.
+BROADCAST_TARGETS = 100_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -90,8 +93,9 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 42, tokenizer:
     are ordered by ``doc_id``.
     """
     sized = cut(sized_documents(documents, tokenizer_path(tokenizer)))
-    have = [(r["source"], r["t"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).join(F.broadcast(targets.select("source").distinct()), "source").collect()]
     goal = [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.collect()]
+    small = F.broadcast if len(goal) <= BROADCAST_TARGETS else lambda df: df
+    have = [(r["source"], r["t"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).join(targets.select("source").distinct(), "source").collect()]
     _, budget = budgets(have, goal)
     size = dict(have)
     if not budget:
@@ -100,13 +104,13 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 42, tokenizer:
     plan = [(s, int(min(b // size[s], repeats[s])), float(b - size[s] * min(b // size[s], repeats[s]))) for s, b in sorted(budget.items())]
     plan_df = documents.sparkSession.createDataFrame(plan, "source string, epochs int, rest double")
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = sized.join(F.broadcast(plan_df), "source").withColumn("key", F.log(u) / F.col("weight"))
+    keyed = sized.join(small(plan_df), "source").withColumn("key", F.log(u) / F.col("weight"))
     # exp(key) is in (0, 1), so bins of it need no knowledge of the keys
     fine = F.floor(F.exp("key") * BINS * BINS)
     keyed = keyed.withColumn("bin", F.floor(fine / BINS)).withColumn("fine", fine)
     base = None
     for ends in (["bin"], ["bin", "fine"]):
-        inside = keyed if base is None else keyed.join(F.broadcast(base), ["source", "bin"])
+        inside = keyed if base is None else keyed.join(small(base), ["source", "bin"])
         first = F.lit(0) if base is None else F.first("base")
         sums = inside.groupBy("source", *ends).agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"), first.alias("base"))
         order = Window.partitionBy("source", *ends[:-1]).orderBy(F.col(ends[-1]).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -114,7 +118,7 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 42, tokenizer:
         last = run.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest")))
         base = last.select("source", *ends, F.col("before").alias("base"))
     cutoff = base.select("source", F.col("bin").alias("last_bin"), F.col("fine").alias("last_fine"), "base")
-    joined = keyed.join(F.broadcast(cutoff), "source", "left")
+    joined = keyed.join(small(cutoff), "source", "left")
     edge = joined.where(F.col("fine") == F.col("last_fine"))
     order = Window.partitionBy("source").orderBy(F.col("key").desc(), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("before", F.col("base") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
@@ -129,8 +133,8 @@ def mix_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """``source``, ``target_share``, ``documents``, ``tokens``, ``share``, ``most_copies``
     for every target; sources that gave nothing have zeros."""
     got = mix.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    total = got.agg(F.sum("tokens").alias("total"))
-    joined = targets.join(got, "source", "left").join(F.broadcast(total))
+    total = F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy())
+    joined = targets.join(got, "source", "left").withColumn("total", total)  # a row per target
     return joined.select(
         "source", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
