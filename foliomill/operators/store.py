@@ -107,7 +107,7 @@ def updated(chapters: DataFrame, refs: DataFrame) -> DataFrame:
 def upserted(books: DataFrame, incoming: DataFrame, fields: tuple[str, ...] = ("title", "author", "description", "cover_url")) -> DataFrame:
     """Works after an import, matched by ``source_url``. Incoming fields replace the
     stored ones, but an empty incoming cover keeps the stored one. New works get the
-    next ids in the order of their URLs."""
+    next ids in the order of their URLs' hashes."""
     old = books.select("book_id", "source_url", *[F.col(f).alias("_" + f) for f in fields])
     joined = incoming.select("source_url", *fields, F.lit(True).alias("_new")).join(old, "source_url", "full")
     value = lambda f: F.when(F.col("_new").isNull(), F.col("_" + f)).otherwise(F.coalesce(F.nullif(f, F.lit("")), "_" + f) if f == "cover_url" else F.col(f))
@@ -116,17 +116,18 @@ def upserted(books: DataFrame, incoming: DataFrame, fields: tuple[str, ...] = ("
 
 
 def next_ids(merged: DataFrame, books: DataFrame) -> DataFrame:
-    """Fill null ``book_id`` with the ids after the highest, numbered by URL.
+    """Fill null ``book_id`` with the ids after the highest, numbered in the
+    order of the URLs' hashes.
 
-    Ranks are made from counts per hash-free range: rows are split into ranges of the
-    URL's first characters, counted, and numbered within each range."""
-    top = books.agg(F.coalesce(F.max("book_id"), F.lit(0)).alias("_top"))
+    Rows are split into 4,096 ranges by the first digits of the URL's hash, counted, and
+    numbered within each range, so no task orders all of them."""
+    top = books.agg(F.max("book_id")).head()[0] or 0
     new = merged.where("book_id IS NULL").drop("book_id").withColumn("_range", F.substring(F.sha1("source_url"), 1, 3))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = new.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     within = F.row_number().over(Window.partitionBy("_range").orderBy(F.sha1("source_url")))
-    numbered = new.withColumn("_n", within).join(F.broadcast(offsets), "_range").join(F.broadcast(top))
-    filled = numbered.withColumn("book_id", F.col("_top") + F.col("_before") + F.col("_n")).select(*merged.columns)
+    numbered = new.withColumn("_n", within).join(F.broadcast(offsets), "_range")
+    filled = numbered.withColumn("book_id", F.lit(top) + F.col("_before") + F.col("_n")).select(*merged.columns)
     return merged.where("book_id IS NOT NULL").unionByName(filled)
 
 
