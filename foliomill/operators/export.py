@@ -44,16 +44,28 @@ def ordered(rows: DataFrame, value: Column, name: str) -> DataFrame:
     return rows.groupBy("book_id", volume(F.col("idx")).alias("volume")).agg(F.transform(pairs, lambda p: p["v"]).alias(name))
 
 
+def _gone(chapters: DataFrame) -> tuple[DataFrame, Column]:
+    """The parts that aren't available and how each is named."""
+    return store.unavailable(chapters), F.concat(F.col("idx").cast("string"), F.lit(". "), F.coalesce("title", F.lit("")))
+
+
+def volumes(books: DataFrame, *arrays: DataFrame) -> DataFrame:
+    """``book_id``, ``volume`` of all files: those with any part, available or not, and
+    the first of every work."""
+    rows = books.select("book_id", F.lit(0).alias("volume"))
+    for a in arrays:
+        rows = rows.unionByName(a.select("book_id", "volume"))
+    return rows.distinct()
+
+
 def works(books: DataFrame, chapters: DataFrame, parts: dict[str, Column]) -> DataFrame:
     """One row per work and volume: the fields of the work, arrays of ``parts`` (string
     columns of its exportable parts), and ``missing``, what isn't available."""
     done = store.exportable(chapters)
     packed = F.struct(*[v.alias(k) for k, v in parts.items()])
     arrays = ordered(done, packed, "_parts")
-    label = F.concat(F.col("idx").cast("string"), F.lit(". "), F.coalesce("title", F.lit("")))
-    missing = ordered(store.unavailable(chapters), label, "missing")
-    first = books.select("book_id", F.lit(0).alias("volume"))
-    keys = arrays.select("book_id", "volume").unionByName(first).distinct()
+    missing = ordered(*_gone(chapters), "missing")
+    keys = volumes(books, arrays, missing)
     none = F.array().cast("array<string>")
     field = lambda k: F.transform("_parts", lambda p: p[k])
     lists = [F.coalesce(field(k), none).alias(k) for k in parts]
@@ -69,6 +81,15 @@ def notes(missing: Column, language: Column) -> Column:
     return F.when(F.size(missing) > 0, line)
 
 
+def notes_line(books: DataFrame, chapters: DataFrame) -> DataFrame:
+    """``book_id``, ``line`` of every work: what isn't available of all its volumes."""
+    gone, label = _gone(chapters)
+    pairs = F.array_sort(F.collect_list(F.struct("idx", label.alias("v"))))
+    missing = gone.groupBy("book_id").agg(F.transform(pairs, lambda p: p["v"]).alias("missing"))
+    rows = books.select("book_id", X.language_of_export(F.col("language_code")).alias("l")).join(missing, "book_id", "left")
+    return rows.select("book_id", notes(F.col("missing"), F.col("l")).alias("line"))
+
+
 def _when(value: str, *lines: Column) -> Column:
     """An array of lines where a field isn't empty, else no lines."""
     return F.when(F.col(value) != "", F.array(*lines)).otherwise(F.array().cast("array<string>"))
@@ -223,8 +244,7 @@ def binary(kind: str, books: DataFrame, chapters: DataFrame, images: DataFrame)
     part = F.struct("idx", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(F.col("blocks"), F.array().cast(f"array<{B.BLOCK}>")).alias("blocks"))
     pairs = ordered(store.exportable(chapters), part, "chapters")
     gone = ordered(store.unavailable(chapters), F.struct("idx", "title"), "unavailable")
-    first = books.select("book_id", F.lit(0).alias("volume"))
-    keys = pairs.select("book_id", "volume").unionByName(first).distinct()
+    keys = volumes(books, pairs, gone)
     fields = books.select("book_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "author", "description", "source_url", "language_code")], "cover", "cover_mime")
     by = ["book_id", "volume"]
     rows = keys.join(fields, "book_id").join(pairs, by, "left").join(gone, by, "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from foliomill.functions import images as I
 from foliomill.operators import export
 from foliomill.operators.pages import map_rows
@@ -58,8 +56,7 @@ def export_md(spark, d):
 
 @query(f"WITH {_WORKS} SELECT book_id, CASE WHEN missing IS NULL THEN NULL ELSE {_NOTES} END AS line FROM works")
 def notes_line(spark, d):
-    rows = export.works(table(spark, d, "books"), table(spark, d, "chapters"), {"parts": F.lit("")}).where("volume = 0")
-    return rows.select("book_id", export.notes(F.col("missing"), F.col("l")).alias("line"))
+    return export.notes_line(table(spark, d, "books"), table(spark, d, "chapters"))
 
 
 def _files(kind: str):

@@ -56,6 +56,26 @@ def test_every_format(tables, kind):
     assert rows[1]["content"] == {r["book_id"]: r for r in export.export(kind, *tables).collect()}[1]["content"]
 
 
+def test_missing_parts_of_late_volumes(spark, make_books, make_chapters, monkeypatch):
+    books = make_books([{}, dict(book_id=2)])
+    far = [dict(chapter_id=k, idx=k, title=f"T{k}", status=s) for k, s in ((2001, "failed"), (4500, "pending"), (9000, None), (10000, "empty"))]
+    chapters = make_chapters([dict(plain_text="x"), dict(chapter_id=3, idx=2002, plain_text="y"), *far])
+    names = ["2001. T2001", "4500. T4500", "9000. T9000", "10000. T10000"]
+    from foliomill.plans import exports
+
+    monkeypatch.setattr(exports, "table", lambda _s, _d, name: {"books": books, "chapters": chapters}[name])
+    got = {r["book_id"]: r["line"] for r in exports.notes_line(spark, "").collect()}
+    assert got == {1: "Import notes — Chapters not retrieved: " + " • ".join(names), 2: None}
+    for kind in ("json", "docx"):
+        rows = {r["volume"]: r for r in export.export(kind, books, chapters, spark.createDataFrame([], "src string, bytes binary, mime string, width int, height int")).where("book_id = 1").collect()}
+        assert set(rows) == {0, 1, 2, 4}
+        if kind == "json":
+            assert [json.loads(rows[v]["content"])["unavailableChapters"] for v in (0, 1, 2, 4)] == [[], names[:1], names[1:2], names[2:]]
+        else:
+            files = zipfile.ZipFile(io.BytesIO(rows[4]["content"]))
+            assert "10000. T10000" in files.read("word/document.xml").decode()
+
+
 def test_unknown_format(tables):
     with pytest.raises(ValueError):
         export.export("exe", *tables)
