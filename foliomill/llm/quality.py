@@ -35,11 +35,14 @@ _PART = re.compile(r"[^\W\d_]+")
 _SENTENCE_END = re.compile(r"[.!?؟…。](?:[\s»”“\"’')\]‌-‏])*$")
 _BULLET = re.compile(r"^\s*(?:[-*•►▪◦–—·]|\(?\d{1,4}[.):]|#\d+)\s+\S")
 _DELIMITERS = re.compile(r"\t|;|\||/|,|:|=|—|–|->|\.{3,}|·{2,}")
+_COLUMNS = re.compile(rf"(?<=\S)\s{{2,}}|{_DELIMITERS.pattern}")
 _DIGITS = re.compile(r"\d")
 #: The share of its own lines from which a document isn't prose.
 MOST = 0.5
 #: So many neighbouring lines of one pattern are a table or list.
 ALIGNED_RUN = 3
+#: So many lines show a rhythm, if lengths correlate or indentation repeats so much.
+RHYTHM_RUN, RHYTHM, RHYTHM_INDENT = 8, 0.5, 0.75
 
 
 def line_statistics(line: str) -> dict[str, float]:
@@ -90,7 +93,7 @@ def pattern(line: str) -> str:
 
 def aligned(lines: list[str]) -> list[bool]:
     """Lines in runs of one delimiter pattern at least ``ALIGNED_RUN`` long."""
-    pats = [pattern(x) if len(x) < 160 else "" for x in lines]
+    pats = [pattern(x) for x in lines]
     out = [False] * len(lines)
     a = 0
     while a < len(pats):
@@ -124,18 +127,64 @@ def indentation_period(lines: list[str]) -> float:
     return max(float(np.mean([a == b for a, b in zip(depth[k:], depth)])) for k in (1, 2))
 
 
+def _spread(links: list[bool], step: int, least: int) -> list[tuple[int, int]]:
+    """Runs of at least ``least`` lines, each linked to the one ``step`` before it."""
+    out, a = [], 0
+    for k in range(step, len(links) + 1):
+        if k == len(links) or not links[k]:
+            if k - a >= least and k - a > step:
+                out.append((a, k))
+            a = k - step + 1
+    return out
+
+
+def columns(line: str) -> frozenset[tuple[int, str]]:
+    """Where the delimiters and gaps of a line end, with what they are."""
+    return frozenset((m.end(), "" if m[0].isspace() else m[0]) for m in _COLUMNS.finditer(line.rstrip()))
+
+
+def in_columns(lines: list[str]) -> list[bool]:
+    """Lines in runs of at least ``ALIGNED_RUN`` whose delimiters or gaps stand at the same
+    places: two at least, and half of all. Prose of any length has no such neighbours."""
+    at = [columns(x) for x in lines]
+    links = [k > 0 and len(at[k] & at[k - 1]) >= max(2, max(len(at[k]), len(at[k - 1])) / 2) for k in range(len(at))]
+    out = [False] * len(lines)
+    for a, b in _spread(links, 1, ALIGNED_RUN):
+        out[a:b] = [True] * (b - a)
+    return out
+
+
+def rhythmic(lines: list[str], ends: list[float]) -> list[bool]:
+    """Lines in runs of at least ``RHYTHM_RUN`` that agree in two of three: the same
+    delimiters in the same order (of every or every other line), line lengths that
+    correlate with those before, periodic indentation. Without common delimiters only
+    lines that end no sentence count."""
+    pats = [tuple(_DELIMITERS.findall(x)) for x in lines]
+    depth = [len(x) - len(x.lstrip()) for x in lines]
+    similar = lambda a, b: autocorrelation([len(x) for x in lines[a:b]]) >= RHYTHM
+    periodic = lambda a, b: len(set(depth[a:b])) > 1 and indentation_period(lines[a:b]) >= RHYTHM_INDENT
+    out = [False] * len(lines)
+    for step in (1, 2):
+        for a, b in _spread([k >= step and bool(pats[k]) and pats[k] == pats[k - step] for k in range(len(pats))], step, RHYTHM_RUN):
+            if similar(a, b) or periodic(a, b):
+                out[a:b] = [True] * (b - a)
+    for a, b in _spread([k > 0 and not ends[k] and not ends[k - 1] for k in range(len(ends))], 1, RHYTHM_RUN):
+        if similar(a, b) and periodic(a, b):
+            out[a:b] = [True] * (b - a)
+    return out
+
+
 def document_statistics(lines: list[str], own: list[bool]) -> dict:
     """Statistics of a document over its own non-blank lines."""
     body = [x for x, mine in zip(lines, own) if mine and x.strip()]
     each = [line_statistics(x) for x in body]
-    table = aligned(body)
+    runs, ends = aligned(body), [f["ends"] for f in each]
+    placed = [a or b for a, b in zip(in_columns(body), rhythmic(body, ends))]
+    table = [a or b for a, b in zip(runs, placed)]
     similar = autocorrelation([len(x) for x in body])
     odd = 0
-    for f, t in zip(each, table):
-        prose = running_prose(f)
-        if prose and t and f["words"] < 12 and not f["ends"]:
-            prose = False
-        odd += not prose
+    for f, t, sure in zip(each, runs, placed):
+        odd += sure or (t and not f["ends"]) or not running_prose(f)
     words = sum(f["words"] for f in each)
     letters = sum(f["letters"] for f in each)
     solid = sum(f["letters"] / f["letter_share"] for f in each if f["letter_share"]) or 1

@@ -46,6 +46,20 @@ def test_autocorrelation():
     assert quality.indentation_period(["a", "  b", "a", "  b"]) == 1 and quality.indentation_period(["a"] * 4) == 0
 
 
+def test_rows_that_look_like_prose(make_chapters):
+    nouns = ["the old miller of the house", "the river and the boat", "the letter that was in the rain", "a window to the north", "the door of the mill"]
+    long = ["; ".join(f"{n} was seen by the {k + j}" for j, n in enumerate(nouns * 2)) for k in range(5)]  # over 160 characters
+    phrases = [", ".join(nouns[(k + j) % 5] for j in range(3 + k % 2)) for k in range(6)]
+    spaced = [f"{a:<24}{b:<26}{c} was here." for a, b, c in zip(["The miller said", "She was in the boat", "Nobody knew why", "He had the letter"], ["that it was the house", "and the rain was in", "they were at the mill", "but not the window"], ["the one", "nobody we knew", "it", "what she had"])]
+    asked = [x for k in range(5) for x in (f"Where was: the miller of the river when it rained {k}?", f"  Answer: he was in the house {k}.")]
+    outline = [x for k in range(5) for x in ("the miller and the boat that was on the river at the end of the house by the mill", "    the window of the house to the north")]
+    story = [PROSE["en"], PROSE["en"] + " He was, it was said, there.", "“Where,” she asked, “is the boat?” Nobody knew, and the rain was on the river."] * 4
+    docs = {"long": long, "phrases": phrases, "spaced": spaced, "asked": asked, "outline": outline, "story": story, "again": [x * 9 for x in story]}
+    got = {k: quality.document_statistics(v, [True] * len(v)) for k, v in docs.items()}
+    assert {k for k, r in got.items() if r["kind"] == "prose"} == {"story", "again"}
+    assert all(quality.running_prose(quality.line_statistics(x)) for x in [*spaced, *asked])
+
+
 # 2
 
 
