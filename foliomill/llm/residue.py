@@ -9,15 +9,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm.common import cut, map_batches
 
-#: Bodies of more characters are no message; filler is recognised at any length.
-MESSAGE_CHARS = 600
+#: One message line lets recurrence decide on a body of up to so many characters;
+#: longer ones need a fifth of their lines.
+MESSAGE_CHARS, MESSAGE_SHARE = 600, 0.2
+#: Lines of more characters are messages if half of their sentences are.
+LINE_CHARS = 200
 #: A body is widely recurring from so many rows on so many sources.
 WIDE_ROWS, WIDE_SOURCES = 5, 3
 
@@ -56,6 +61,9 @@ PHRASES = {
     ),
 }
 _PHRASE = {kind: re.compile("|".join(f"(?:{p})" for p in ps), re.I) for kind, ps in PHRASES.items()}
+_SENTENCES = re.compile(r"(?<=[.!?؟…])\s+")
+#: Lines of a stack trace; after a Python frame comes a line of code.
+_FRAME = re.compile(r"^(?:file \".*\", line \d+|at [\w$.<>/]+\s?\(.*\)$|#\d+ .+\(\d+\)|caused by: |\.{3} \d+ more$)", re.I)
 _ANY_PHRASE = re.compile("|".join(f"(?:{p})" for ps in PHRASES.values() for p in ps), re.I)
 
 _MASKS = (
@@ -63,6 +71,20 @@ _MASKS = (
     (re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b"), "DATE"),
     (re.compile(r"\d+"), "0"),
 )
+#: Without these a mask has nothing to find.
+_SIGNS = (re.compile(r"[@/]|www\.", re.I), re.compile(r"\d"), re.compile(r"\d"))
+
+
+#: The rules for lines as one automaton over bodies; without word limits it finds no less.
+_HINT = "(?im)" + "|".join(
+    re.sub(r"\\b", "", p).replace(r"\d", r"\p{Nd}").replace(r"\w", r"[\pL\pN_]")
+    for p in [f"(?:{x})" for ps in PHRASES.values() for x in ps] + [r"\{\{|\{%|<%|[$#]?\{|\[\[|%%|__|@@|\[object|undefined|null|nan|none|n/a|nil|todo|tbd", r"^[ \t.,;:!?'\"()-]+$"]
+)
+
+
+def hints(bodies: list[str]) -> list[bool]:
+    """Whether a body may have a message line."""
+    return pc.match_substring_regex(pa.array(bodies, pa.string()), _HINT).to_pylist()
 
 
 def own_body(text: str, title: str | None) -> list[str]:
@@ -75,8 +97,9 @@ def own_body(text: str, title: str | None) -> list[str]:
 def masked(lines: list[str]) -> str:
     """The normalised form in which messages are grouped."""
     text = "\n".join(lines)
-    for pattern, name in _MASKS:
-        text = pattern.sub(name, text)
+    for (pattern, name), signs in zip(_MASKS, _SIGNS):
+        if signs.search(text):
+            text = pattern.sub(name, text)
     return text.casefold()
 
 
@@ -84,13 +107,33 @@ def line_kind(line: str) -> str | None:
     """The kind of message a line is as a whole, if rules tell."""
     if not _PLACEHOLDER.sub("", line).strip(" \t.,;:!?'\"()-"):
         return "template"
-    if len(line) <= 200:
-        if _TEMPLATE_FIELD.search(line):
-            return "template"
-        for kind, pattern in _PHRASE.items():
-            if pattern.search(line):
-                return kind
-    return None
+    if len(line) <= LINE_CHARS:
+        return _message(line)
+    parts = _SENTENCES.split(line)
+    kinds = [k for x in parts if (k := _message(x))]
+    return kinds[0] if kinds and 2 * len(kinds) >= len(parts) else None
+
+
+def _message(text: str) -> str | None:
+    if _TEMPLATE_FIELD.search(text):
+        return "template"
+    return next((kind for kind, pattern in _PHRASE.items() if pattern.search(text)), None) if _ANY_PHRASE.search(text) else None
+
+
+def _kinds(lines: list[str]) -> Iterator[str | None]:
+    """The kind of each line; frames and their code belong to an error before them."""
+    error, code = False, False
+    for x in lines:
+        kind = line_kind(x)
+        if error and kind is None and (code or _FRAME.match(x)):
+            kind, code = "error", not code and x[:5].casefold() == "file "
+        else:
+            error, code = error or kind == "error", False
+        yield kind
+
+
+def _brief(line: str) -> bool:
+    return len(line) <= 40 and len(line.split()) <= 3
 
 
 def classify(text: str | None, title: str | None) -> tuple[str | None, bool, str | None]:
@@ -98,30 +141,40 @@ def classify(text: str | None, title: str | None) -> tuple[str | None, bool, str
 
     Certain are bodies of which every line is a message or filler by the rules. A
     kind that isn't certain has some line that is; whether the body is a message
-    then depends on how widely it recurs. Null and blank texts, bodies that are only
-    a heading, and long texts have no kind.
+    then depends on how widely it recurs. Null and blank texts and bodies that are
+    only a heading have no kind and no normalised body.
     """
     if not text or text.isspace():
         return None, False, None
-    lines = own_body(text, title)
+    return classify_lines(own_body(text, title))
+
+
+def classify_lines(lines: list[str], hint: bool = True) -> tuple[str | None, bool, str | None]:
+    """``classify`` of the own lines of a text; without a hint none is a message."""
     if not lines:
         return None, False, None
     if _LOREM.match(lines[0]):
         return "filler", True, masked(lines)
-    size = sum(map(len, lines))
-    if size > MESSAGE_CHARS:
-        return None, False, None
-    kinds = [line_kind(x) for x in lines]
+    kinds = list(_kinds(lines)) if hint else []
     known = [k for k in kinds if k]
-    if not known:
+    if not known or (sum(map(len, lines)) > MESSAGE_CHARS and len(known) < MESSAGE_SHARE * len(lines)):
         return None, False, masked(lines)
-    short = all(k or len(x) <= 40 and len(x.split()) <= 3 for k, x in zip(kinds, lines))
+    short = all(k or _brief(x) for k, x in zip(kinds, lines))
     return known[0], len(known) == len(lines) or (short and 2 * len(known) >= len(lines)), masked(lines)
 
 
 def is_residue(text: str | None, title: str | None) -> bool:
-    kind, certain, _ = classify(text, title)
-    return bool(kind and certain)
+    """Whether ``classify`` is certain; ends at the first line that is no message."""
+    if not text or text.isspace() or not (lines := own_body(text, title)):
+        return False
+    if _LOREM.match(lines[0]):
+        return True
+    known = 0
+    for kind, x in zip(_kinds(lines), lines):
+        if not kind and not _brief(x):
+            return False
+        known += bool(kind)
+    return known > 0 and 2 * known >= len(lines)
 
 
 def residue(chapters: DataFrame, columns: tuple[str, str, str, str] = ("chapter_id", "host", "title", "plain_text")) -> DataFrame:
@@ -136,8 +189,9 @@ def residue(chapters: DataFrame, columns: tuple[str, str, str, str] = ("chapter_
     def make() -> Callable:
         def run(cols: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {"chapter_id": [], "source": [], "kind": [], "certain": [], "k": []}
-            for i, s, h, t in zip(cols["i"], cols["s"], cols["h"], cols["t"]):
-                kind, certain, norm = classify(t, h)
+            bodies = [own_body(t, h) for h, t in zip(cols["h"], cols["t"])]
+            for i, s, lines, hint in zip(cols["i"], cols["s"], bodies, hints(["\n".join(x) for x in bodies])):
+                kind, certain, norm = classify_lines(lines, hint)
                 if norm:
                     k = int.from_bytes(hashlib.blake2b(norm.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
                     for name, v in zip(out, (i, s, kind, certain, k)):

@@ -289,6 +289,20 @@ def test_residue(make_chapters):
     assert len(got) == 8 and {r["sources"] for r in got} == {4} and {r["rows"] for r in got} == {8}
 
 
+def test_long_residue(make_chapters):
+    trace = "Traceback (most recent call last):\n" + "\n".join(f'  File "/srv/app/part{k}.py", line {k}, in load\n    return the_reader.read(chapter, page, {k})' for k in range(40)) + "\nKeyError: 'body'"
+    fields = "\n".join(f"The part named {{{{ field_{k} }}}} of the book {{{{ book.name }}}} belongs here" for k in range(30))
+    line = " ".join(f"Dear {{name}}, part {k} of {{book}} is ready." for k in range(12))
+    story = (PROSE["en"] + " “Access denied,” said the voice. ") * 4 + "\n" + PROSE["en"]
+    page = "503 service unavailable\n" + PROSE["en"] + "\n" + PROSE["en"] + "\n" + PROSE["en"] + " It is over on {k}.{k}.2024."
+    rows = [dict(plain_text=t, host="h") for t in (trace, fields, line, story)] + [dict(plain_text=page.replace("{k}", str(k)), host=f"h{k % 4}") for k in range(1, 9)]
+    rows += [dict(plain_text=story, host=f"g{k}") for k in range(6)]  # widely told, one mention
+    got = {r["chapter_id"]: r["kind"] for r in residue.residue(make_chapters([dict(chapter_id=k, title="T") | r for k, r in enumerate(rows)])).collect()}
+    assert got == {0: "error", 1: "template", 2: "template"} | {k: "error" for k in range(4, 12)}
+    assert [residue.is_residue(t, None) for t in (trace, fields, line, story, page)] == [True, True, True, False, False]
+    assert residue.hints([trace, fields, line, story, page, "...", PROSE["en"]]) == [True] * 6 + [False]
+
+
 # 8
 
 
