@@ -43,7 +43,7 @@ def block_shape(tag: str, text: str, n: int, k: int, total: int, titled: bool) -
         min(len(text), 400) / 200,
         float(bool(_END.search(text[-8:]))),
         float(text.isupper()),
-        float(bool(_DIGIT.search(text, 0, 40))),
+        float(bool(_DIGIT.search(text))),
         float(titled),
         float(bool(HEADING.match(text)) and n < 20),
         float(k < 3),

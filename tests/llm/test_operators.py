@@ -192,6 +192,12 @@ def test_labeller_learns_rules(make_chapters):
     assert boilerplate.boilerplate(df.where("false")).count() == 0
 
 
+def test_digits_anywhere_in_a_block():
+    shape = lambda text: boilerplate.block_shape("p", text, 9, 1, 9, False)
+    plain = "All chapters remain the property of their authors and of this site, since "
+    assert [a != b for a, b in zip(shape(plain + "2024"), shape(plain + "ever"))] == [k == 7 for k in range(14)]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = boilerplate.Labeller()
