@@ -41,7 +41,7 @@ PHRASES = (
     r"sie lesen dieses kapitel auf", r"kopien an anderer stelle", r"^unterstützen sie die übersetzer", r"teilen sie dieses kapitel", r"^jede wiedergabe ohne", r"^übersetzt für die leser", r"^veröffentlicht von der redaktion", r"bleiben eigentum ihrer",
     r"wird von freiwilligen betrieben", r"^über uns – ", r"nutzungsbedingungen", r"^nach oben ↑?", r"ihre privatsphäre zählt", r"nutzung von cookies", r"speichert kleine dateien", r"mit ihrer e-mail erfahren", r"^andere leser öffneten", r"könnten ihnen gefallen",
     r"^diese woche beliebt", r"^schriftgröße", r"^schlagworte:", r"^bewerten sie dieses kapitel", r"^kommentare\W*\d*\W*$", r"^autoren des monats|^top-autoren", r"^defektes kapitel melden|^für leser gemacht", r"wenn sie fehler (?:finden|entdecken)", r"merkt sich (?:ihre )?schriftgröße",
-    r"شارك هذا الفصل مع", r"ترجم لقراء", r"ادعم مترجمي", r"يمنع نقل أي", r"أنت تقرأ هذا الفصل على", r"متطوعون\. أبلغ عن مشكلة", r"نشره فريق", r"من نحن – اتصل بنا", r"شروط الاستخدام", r"العودة إلى الأعلى", r"جميع الفصول ملك لأصحابها",
+    r"شارك هذا الفصل مع", r"ترجم لقراء", r"ادعم مترجمي", r"يمنع نقل أي", r"أنت تقرأ هذا الفصل على", r"أبلغ عن مشكلة في هذه", r"نشره فريق", r"من نحن – اتصل بنا", r"شروط الاستخدام", r"العودة إلى الأعلى", r"جميع الفصول ملك لأصحابها",
     r"خصوصيتك تهمنا", r"ملفات تعريف الارتباط", r"يحفظ موقع", r"^قيم هذا الفصل", r"قراء آخرون فتحوا", r"^اترك بريدك", r"^حجم الخط", r"^وسوم رائجة", r"قد تعجبك هذه", r"^الأكثر قراءة هذا", r"^التعليقات\W*\d*\W*$", r"^أبلغ عن فصل|^مؤلفو الشهر|^أفضل مؤلفي الشهر", r"إذا وجدت أخطاء",
     r"^©\s", r"★{3,}", r"\brss – ",
 )
@@ -56,25 +56,36 @@ _BOX = re.compile(
 _NO_TITLE = re.compile(r"[\d\t;=\[\]|]|^\s*[•*►▪◦-]\s|—|·{2}|\.{3}|->|[,،].*[,،]")
 #: A reader's name with a number, then what they wrote.
 _COMMENT = r"^\pL+_?\d+\s*(?::|–|-|—)\s"
+_SENTENCES = re.compile(r"(?<=[.!?؟…])[»”“\"’')\]]*\s+")
+#: What is said in quotes is story, whatever it says.
+_QUOTED = re.compile(r"«[^»]*»|“[^”]*”|„[^“]*“")
+_LINE = re.compile(_PHRASE, re.I)
 _ENDS = re.compile(r"[.!?؟…][»”“\"’')\]]*\s*$")
 
 
-LONGEST = 220
-
-
 def _spaced(line: str) -> str:
     return " ".join(line.split()) if "  " in line or not line.isprintable() or line[:1] == " " or line[-1:] == " " else line
 
 
+def _mostly(line: str) -> bool:
+    """Whether half of a line's sentences, or of its letters, are a site's."""
+    parts = _SENTENCES.split(line)
+    if len(parts) < 2:
+        return len(_QUOTED.split(line)) < 2 or _LINE.search(_QUOTED.sub(" ", line)) is not None
+    hits = [x for x in parts if _LINE.search(x)]
+    return 2 * len(hits) >= len(parts) or 2 * sum(map(len, hits)) >= len(line)
+
+
 def alone(lines: list[str]) -> np.ndarray:
-    """Whether each line, taken alone, is a site's own. The patterns run as
-    automata over the whole list."""
+    """Whether each line, taken alone, is a site's own. The patterns run as automata
+    over the whole list; lines of several sentences need hits in half of them."""
     column = pa.array(lines, pa.string())
-    short = pc.less_equal(pc.utf8_length(column), LONGEST)
-    found = pc.and_(short, pc.match_substring_regex(column, _PHRASE, ignore_case=True))
-    menu = pc.and_(short, pc.match_substring_regex(column, _MENU_LINE, ignore_case=True))
+    found = pc.match_substring_regex(column, _PHRASE, ignore_case=True).to_numpy(zero_copy_only=False).copy()
+    for k in np.flatnonzero(found).tolist():
+        found[k] = _mostly(lines[k])
+    menu = pc.match_substring_regex(column, _MENU_LINE, ignore_case=True)
     comment = pc.match_substring_regex(column, _COMMENT)
-    return pc.or_(pc.or_(found, menu), comment).to_numpy(zero_copy_only=False)
+    return found | pc.or_(menu, comment).to_numpy(zero_copy_only=False)
 
 
 def site_lines(documents: list[list[str]], titles: list[str | None]) -> list[list[bool]]:
@@ -91,7 +102,7 @@ def site_lines(documents: list[list[str]], titles: list[str | None]) -> list[lis
             if not s:
                 continue
             if box and not own[k]:
-                box = len(s) <= 90 and not _ENDS.search(s) and not _NO_TITLE.search(s) and not HEADING.match(s) and s.casefold() != " ".join((title or "").split()).casefold()
+                box = not _ENDS.search(s) and not _NO_TITLE.search(s) and not HEADING.match(s) and s.casefold() != " ".join((title or "").split()).casefold()
                 own[k] = box
             else:
                 box = bool(own[k] and _BOX.match(s))

@@ -1,8 +1,9 @@
 """Problem 1: per-document text statistics that tell prose from lists, tables and junk.
 
-Word, symbol and punctuation ratios judge each line; vertical delimiter alignment,
-indentation periodicity and the autocorrelation of line lengths find tables and
-lists among lines that look ordinary one by one.
+Word, symbol and punctuation ratios give each line points; vertical delimiter
+alignment, indentation periodicity and the autocorrelation of line lengths give the
+lines of a run more, so that tables and lists are found among lines that look ordinary
+one by one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from foliomill.llm.common import map_batches
 from foliomill.llm.encoding import repair
 from foliomill.llm.furniture import site_lines
-from foliomill.llm.residue import HEADING, is_residue
+from foliomill.llm.residue import heading_lines, is_residue
 
 #: The commonest words of the five languages.
 COMMON = frozenset(
@@ -37,6 +38,8 @@ _BULLET = re.compile(r"^\s*(?:[-*•►▪◦–—·]|\(?\d{1,4}[.):]|#\d+)\s+\
 _DELIMITERS = re.compile(r"\t|;|\||/|,|:|=|—|–|->|\.{3,}|·{2,}")
 _COLUMNS = re.compile(rf"(?<=\S)\s{{2,}}|{_DELIMITERS.pattern}")
 _DIGITS = re.compile(r"\d")
+#: Points from which a line isn't prose.
+ODD = 2
 #: The share of its own lines from which a document isn't prose.
 MOST = 0.5
 #: So many neighbouring lines of one pattern are a table or list.
@@ -70,20 +73,26 @@ def line_statistics(line: str) -> dict[str, float]:
     }
 
 
-def running_prose(f: dict[str, float]) -> bool:
-    """Whether a line is running prose by its ratios."""
+def ratio_points(f: dict[str, float]) -> int:
+    """Points against a line by its ratios: ``ODD`` where one ratio is beyond any prose,
+    one each for a missing sentence end, few words, few common words, many commas."""
     n = f["words"]
     if n == 0 or f["letter_share"] < 0.6 or f["digit_share"] > 0.25 or not 1.5 <= f["mean"] <= 16:
-        return False
-    if f["token"] > 22 and f["words"] < 40:
-        return False  # no word is that long: encoded bytes
+        return ODD
+    if f["token"] > 22 and n < 40:
+        return ODD  # no word is that long: encoded bytes
     if n >= 6 and f["distinct"] * n < 0.3 * min(n, 40):
-        return False  # a few words over and over
+        return ODD  # a few words over and over
     if f["bullet"] and n < 12:
-        return False
+        return ODD
     if f["ends"]:
-        return n >= 2 and (f["common"] > 0 or n < 9)
-    return n >= 7 and f["common"] >= 0.12 and f["common"] * n >= 2.5 and f["commas"] < 0.3
+        return (n < 2) + (f["common"] == 0 and n >= 9)
+    return 1 + (n < 7) + (f["common"] < 0.12 or f["common"] * n < 2.5) + (f["commas"] >= 0.3)
+
+
+def running_prose(f: dict[str, float]) -> bool:
+    """Whether a line is running prose by its ratios alone."""
+    return ratio_points(f) < ODD
 
 
 def pattern(line: str) -> str:
@@ -154,37 +163,42 @@ def in_columns(lines: list[str]) -> list[bool]:
     return out
 
 
-def rhythmic(lines: list[str], ends: list[float]) -> list[bool]:
-    """Lines in runs of at least ``RHYTHM_RUN`` that agree in two of three: the same
-    delimiters in the same order (of every or every other line), line lengths that
-    correlate with those before, periodic indentation. Without common delimiters only
-    lines that end no sentence count."""
+def rhythmic(lines: list[str], ends: list[float]) -> list[int]:
+    """Points of runs of at least ``RHYTHM_RUN`` lines, one for each of three that agree:
+    the same delimiters in the same order (of every or every other line), line lengths
+    that correlate with those before, periodic indentation. Without common delimiters
+    only lines that end no sentence count."""
     pats = [tuple(_DELIMITERS.findall(x)) for x in lines]
     depth = [len(x) - len(x.lstrip()) for x in lines]
-    similar = lambda a, b: autocorrelation([len(x) for x in lines[a:b]]) >= RHYTHM
-    periodic = lambda a, b: len(set(depth[a:b])) > 1 and indentation_period(lines[a:b]) >= RHYTHM_INDENT
-    out = [False] * len(lines)
+    out = [0] * len(lines)
+
+    def judge(a: int, b: int, points: int) -> None:
+        points += autocorrelation([len(x) for x in lines[a:b]]) >= RHYTHM
+        points += len(set(depth[a:b])) > 1 and indentation_period(lines[a:b]) >= RHYTHM_INDENT
+        out[a:b] = [max(points, old) for old in out[a:b]]
+
     for step in (1, 2):
         for a, b in _spread([k >= step and bool(pats[k]) and pats[k] == pats[k - step] for k in range(len(pats))], step, RHYTHM_RUN):
-            if similar(a, b) or periodic(a, b):
-                out[a:b] = [True] * (b - a)
+            judge(a, b, 1)
     for a, b in _spread([k > 0 and not ends[k] and not ends[k - 1] for k in range(len(ends))], 1, RHYTHM_RUN):
-        if similar(a, b) and periodic(a, b):
-            out[a:b] = [True] * (b - a)
+        judge(a, b, 0)
     return out
 
 
+def layout_points(lines: list[str], ends: list[float]) -> list[int]:
+    """Points against each line by its neighbours: ``ODD`` for delimiters or gaps at the
+    same columns, else one for a shared delimiter pattern, or those of ``rhythmic``."""
+    return [ODD if placed else max(t, r) for t, placed, r in zip(aligned(lines), in_columns(lines), rhythmic(lines, ends))]
+
+
 def document_statistics(lines: list[str], own: list[bool]) -> dict:
     """Statistics of a document over its own non-blank lines."""
     body = [x for x, mine in zip(lines, own) if mine and x.strip()]
     each = [line_statistics(x) for x in body]
-    runs, ends = aligned(body), [f["ends"] for f in each]
-    placed = [a or b for a, b in zip(in_columns(body), rhythmic(body, ends))]
-    table = [a or b for a, b in zip(runs, placed)]
+    layout = layout_points(body, [f["ends"] for f in each])
+    table = [p > 0 for p in layout]
     similar = autocorrelation([len(x) for x in body])
-    odd = 0
-    for f, t, sure in zip(each, runs, placed):
-        odd += sure or (t and not f["ends"]) or not running_prose(f)
+    odd = sum(p + ratio_points(f) >= ODD for f, p in zip(each, layout))
     words = sum(f["words"] for f in each)
     letters = sum(f["letters"] for f in each)
     solid = sum(f["letters"] / f["letter_share"] for f in each if f["letter_share"]) or 1
@@ -220,12 +234,12 @@ CHUNK = 512
 
 
 def own_lines(texts: list[str], titles: list[str | None]) -> list[tuple[list[str], list[bool]]]:
-    """Lines of each text and whether they are its own: not the site's, no heading."""
+    """Lines of each text and whether they are its own: not the site's, not its heading."""
     lines = [t.split("\n") for t in texts]
     out = []
     for ls, site, title in zip(lines, site_lines(lines, titles), titles):
-        head = " ".join((title or "").split()).casefold()
-        out.append((ls, [not s and not (" ".join(x.split()).casefold() == head and head) and not (len(x) < 120 and HEADING.match(x) and not _SENTENCE_END.search(x)) for x, s in zip(ls, site)]))
+        heading = set(heading_lines(ls, title, site))
+        out.append((ls, [not s and k not in heading for k, s in enumerate(site)]))
     return out
 
 

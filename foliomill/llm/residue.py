@@ -1,8 +1,8 @@
 """Problem 7: template residue and error-page text in place of content.
 
-Numbers, dates and addresses are masked, bodies with the same normalised form are
-grouped by hash across sources, and phrase and placeholder rules classify what
-recurs widely or matches as a whole.
+Numbers, dates and addresses are masked and bodies with the same normalised form are
+grouped by hash across sources. What recurs widely is a message, whose kind phrase and
+placeholder rules name; bodies that these rules know as a whole need no recurrence.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from foliomill.llm.common import cut, map_batches
 
-#: One message line lets recurrence decide on a body of up to so many characters;
-#: longer ones need a fifth of their lines.
-MESSAGE_CHARS, MESSAGE_SHARE = 600, 0.2
-#: Lines of more characters are messages if half of their sentences are.
-LINE_CHARS = 200
-#: A body is widely recurring from so many rows on so many sources.
-WIDE_ROWS, WIDE_SOURCES = 5, 3
+#: The rules name the kind of a body from such a share of message lines.
+MESSAGE_SHARE = 0.2
+#: A body recurs widely from so many rows on so many sources; one that no rule names
+#: also at so many places in works, as copies of one chapter on several sites don't.
+WIDE_ROWS, WIDE_SOURCES, WIDE_PLACES = 5, 3, 3
+#: A body that no rule knows needs a line of so many words to be a message.
+MESSAGE_WORDS = 4
 
 #: How chapter headings begin in the five languages.
 HEADING = re.compile(r"^\W*(?:chapter|chapitre|cap[ií]tulo|kapitel|الفصل)\s*\d+\b|^\W*\d{1,5}\W*$", re.I)
@@ -61,6 +61,8 @@ PHRASES = {
     ),
 }
 _PHRASE = {kind: re.compile("|".join(f"(?:{p})" for p in ps), re.I) for kind, ps in PHRASES.items()}
+_WORDS = re.compile(r"[^\W\d_]+")
+_SENTENCE_END = re.compile(r"[.!?؟…][»”“\"’')\]]*$")
 _SENTENCES = re.compile(r"(?<=[.!?؟…])\s+")
 #: Lines of a stack trace; after a Python frame comes a line of code.
 _FRAME = re.compile(r"^(?:file \".*\", line \d+|at [\w$.<>/]+\s?\(.*\)$|#\d+ .+\(\d+\)|caused by: |\.{3} \d+ more$)", re.I)
@@ -87,11 +89,23 @@ def hints(bodies: list[str]) -> list[bool]:
     return pc.match_substring_regex(pa.array(bodies, pa.string()), _HINT).to_pylist()
 
 
-def own_body(text: str, title: str | None) -> list[str]:
-    """The non-blank lines but the chapter's heading, trimmed."""
+def heading_lines(lines: list[str], title: str | None, site: list[bool] | None = None) -> list[int]:
+    """Positions of a document's own heading: every line equal to its title, and its
+    first line (the site's lines aside) if that begins as headings do and ends no
+    sentence. Three such lines in a row are a list of headings, none of them its own."""
     head = " ".join((title or "").split()).casefold()
+    own = [k for k, x in enumerate(lines) if x.strip() and not (site and site[k])]
+    out = [k for k in own if head and " ".join(lines[k].split()).casefold() == head]
+    rest = [k for k in own if k not in out][:3]
+    like = [bool(HEADING.match(lines[k])) and not _SENTENCE_END.search(lines[k].rstrip()) for k in rest]
+    return out + rest[:1] if like[:1] == [True] and (len(like) < 3 or not all(like)) else out
+
+
+def own_body(text: str, title: str | None) -> list[str]:
+    """The non-blank lines but the document's own heading, trimmed."""
     lines = [" ".join(x.split()) for x in text.split("\n")]
-    return [x for x in lines if x and x.casefold() != head and not (len(x) < 120 and HEADING.match(x))]
+    heading = heading_lines(lines, title)
+    return [x for k, x in enumerate(lines) if x and k not in heading]
 
 
 def masked(lines: list[str]) -> str:
@@ -107,11 +121,12 @@ def line_kind(line: str) -> str | None:
     """The kind of message a line is as a whole, if rules tell."""
     if not _PLACEHOLDER.sub("", line).strip(" \t.,;:!?'\"()-"):
         return "template"
-    if len(line) <= LINE_CHARS:
-        return _message(line)
+    if not (first := _message(line)):
+        return None
     parts = _SENTENCES.split(line)
-    kinds = [k for x in parts if (k := _message(x))]
-    return kinds[0] if kinds and 2 * len(kinds) >= len(parts) else None
+    if len(parts) < 3:
+        return first
+    return first if 2 * sum(len(x) for x in parts if _message(x)) >= sum(map(len, parts)) else None
 
 
 def _message(text: str) -> str | None:
@@ -139,9 +154,9 @@ def _brief(line: str) -> bool:
 def classify(text: str | None, title: str | None) -> tuple[str | None, bool, str | None]:
     """(kind, certain, normalised body) of a text.
 
-    Certain are bodies of which every line is a message or filler by the rules. A
-    kind that isn't certain has some line that is; whether the body is a message
-    then depends on how widely it recurs. Null and blank texts and bodies that are
+    Certain are bodies of which every line is a message or filler by the rules. Any
+    other body is a message only if it recurs widely; the rules name its kind where
+    a fifth of its lines are theirs. Null and blank texts and bodies that are
     only a heading have no kind and no normalised body.
     """
     if not text or text.isspace():
@@ -157,12 +172,17 @@ def classify_lines(lines: list[str], hint: bool = True) -> tuple[str | None, boo
         return "filler", True, masked(lines)
     kinds = list(_kinds(lines)) if hint else []
     known = [k for k in kinds if k]
-    if not known or (sum(map(len, lines)) > MESSAGE_CHARS and len(known) < MESSAGE_SHARE * len(lines)):
+    if not known or len(known) < MESSAGE_SHARE * len(lines):
         return None, False, masked(lines)
     short = all(k or _brief(x) for k, x in zip(kinds, lines))
     return known[0], len(known) == len(lines) or (short and 2 * len(known) >= len(lines)), masked(lines)
 
 
+def worded(lines: list[str]) -> bool:
+    """Whether a body has a line of some words, so that it can be a message at all."""
+    return any(len(_WORDS.findall(x)) >= MESSAGE_WORDS for x in lines)
+
+
 def is_residue(text: str | None, title: str | None) -> bool:
     """Whether ``classify`` is certain; ends at the first line that is no message."""
     if not text or text.isspace() or not (lines := own_body(text, title)):
@@ -177,34 +197,38 @@ def is_residue(text: str | None, title: str | None) -> bool:
     return known > 0 and 2 * known >= len(lines)
 
 
-def residue(chapters: DataFrame, columns: tuple[str, str, str, str] = ("chapter_id", "host", "title", "plain_text")) -> DataFrame:
-    """``chapter_id``, ``kind`` (template, filler, error, notice), ``rows`` and
-    ``sources`` of the message, of every row that holds a message in place of content.
+def residue(chapters: DataFrame, columns: tuple[str, str, str, str, str] = ("chapter_id", "host", "idx", "title", "plain_text")) -> DataFrame:
+    """``chapter_id``, ``kind`` (template, filler, error, notice, or message where no rule
+    names it), ``rows`` and ``sources`` of the message, of every row that holds a message
+    in place of content.
 
-    A null source counts as one source. Repeated rows are answered each. Texts that
-    only mention such messages have other lines and are no case.
+    A null source or place counts as one. Repeated rows are answered each. Texts that
+    only mention such messages have other lines and are no case; nor are copies of
+    a text that stand at one place of their works.
     """
-    key, source, title, text = columns
+    key, source, place, title, text = columns
 
     def make() -> Callable:
         def run(cols: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {"chapter_id": [], "source": [], "kind": [], "certain": [], "k": []}
+            out: dict[str, list] = {"chapter_id": [], "source": [], "place": [], "kind": [], "certain": [], "k": []}
             bodies = [own_body(t, h) for h, t in zip(cols["h"], cols["t"])]
-            for i, s, lines, hint in zip(cols["i"], cols["s"], bodies, hints(["\n".join(x) for x in bodies])):
+            for i, s, p, lines, hint in zip(cols["i"], cols["s"], cols["p"], bodies, hints(["\n".join(x) for x in bodies])):
                 kind, certain, norm = classify_lines(lines, hint)
-                if norm:
+                if norm and (kind or worded(lines)):
                     k = int.from_bytes(hashlib.blake2b(norm.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                    for name, v in zip(out, (i, s, kind, certain, k)):
+                    for name, v in zip(out, (i, s, p, kind, certain, k)):
                         out[name].append(v)
             return out
 
         return run
 
-    rows = chapters.select(F.col(key).alias("i"), F.col(source).alias("s"), F.col(title).alias("h"), F.col(text).alias("t")).where("t IS NOT NULL")
-    bodies = cut(map_batches(rows, make, "chapter_id bigint, source string, kind string, certain boolean, k bigint"))
-    per_source = bodies.groupBy("k", "source").agg(F.count("*").alias("n"), F.count("kind").alias("m"))
-    wide = per_source.groupBy("k").agg(F.sum("n").alias("rows"), F.count("*").alias("sources"), F.sum("m").alias("m")).where("m > 0").drop("m")
-    joined = bodies.where("kind IS NOT NULL").join(wide, "k")
-    return joined.where(F.col("certain") | ((F.col("rows") >= WIDE_ROWS) & (F.col("sources") >= WIDE_SOURCES))).select(
-        F.col("chapter_id").alias(key), "kind", F.col("rows"), F.col("sources")
-    )
+    rows = chapters.select(F.col(key).alias("i"), F.col(source).alias("s"), F.hash(F.col(place)).alias("p"), F.col(title).alias("h"), F.col(text).alias("t")).where("t IS NOT NULL")
+    bodies = cut(map_batches(rows, make, "chapter_id bigint, source string, place int, kind string, certain boolean, k bigint"))
+    # combined by place first, so that a message in a third of all rows burdens no task
+    spots = bodies.groupBy("k", "source", "place").agg(F.count("*").alias("n"), F.max("certain").alias("certain"))
+    one = lambda c: F.countDistinct(F.coalesce(F.col(c), F.lit(0).cast(spots.schema[c].dataType)))
+    forms = spots.groupBy("k").agg(F.sum("n").alias("rows"), one("source").alias("sources"), one("place").alias("places"), F.max("certain").alias("certain"))
+    wide = (F.col("rows") >= WIDE_ROWS) & (F.col("sources") >= WIDE_SOURCES)
+    known = forms.where(F.col("certain") | wide).select("k", "rows", "sources", wide.alias("wide"), (wide & (F.col("places") >= WIDE_PLACES)).alias("unnamed"))
+    got = bodies.join(known, "k").where(F.col("certain") | F.when(F.col("kind").isNull(), F.col("unnamed")).otherwise(F.col("wide")))
+    return got.select(F.col("chapter_id").alias(key), F.coalesce("kind", F.lit("message")).alias("kind"), "rows", "sources")

@@ -295,6 +295,45 @@ def test_residue(make_chapters):
     assert len(got) == 8 and {r["sources"] for r in got} == {4} and {r["rows"] for r in got} == {8}
 
 
+def test_recurring_message_without_phrase(make_chapters):
+    said = "The reading room is closed to guests until the {} of this month.\nOnly members of the house may pass the gate."
+    mirrored = PROSE["en"] + "\n" + PROSE["en"][:60]
+    rows = [dict(host=f"h{k % 4}", idx=k, plain_text=said.format(k)) for k in range(8)]
+    rows += [dict(host=f"h{k}", idx=7, plain_text=mirrored) for k in range(8)]  # one chapter on eight sites
+    rows += [dict(host="h", idx=k, plain_text=said.format("first") + "!") for k in range(8)]  # one site only
+    rows += [dict(host=f"h{k}", idx=k, plain_text=f"Mana: {k}\nLuck: {k}") for k in range(8)]  # no words
+    df = make_chapters([dict(chapter_id=k, title="T") | r for k, r in enumerate(rows)])
+    got = residue.residue(df).collect()
+    assert {r["chapter_id"] for r in got} == set(range(8)) and {r["kind"] for r in got} == {"message"}
+
+
+def test_residue_of_any_length(make_chapters):
+    errors = "\n".join(f"Error 503 service unavailable, node {k}" for k in range(60))  # 2,000 characters
+    fields = "\n".join(f"{{{{ chapter.body_{k} }}}}" for k in range(40))
+    notice = "Please turn on JavaScript in your browser to read the chapters of this library " + "and of all the other houses " * 8 + "by the river."
+    rows = [errors, fields, notice, notice + " " + PROSE["en"] * 3]
+    df = make_chapters([dict(chapter_id=k, title="T", plain_text=t) for k, t in enumerate(rows)])
+    assert len(errors) > 2000 and len(notice) > 250 and found(residue.residue(df), "chapter_id") == [(0,), (1,), (2,)]
+
+
+def test_contents_lists_and_own_headings(make_chapters):
+    contents = "\n".join(f"Chapter {k} {'.....' if k % 2 else '->'} Strange Ledger" for k in range(1, 9))
+    things = "\n".join(", ".join(f"{a} {b}" for a in ("heavy", "old")[: 1 + k % 2] for b in ("ledger", "lantern", "map")) for k in range(6))
+    wide = "\n".join("; ".join(f"a long entry of the table in row {k} and column {j} of it" for j in range(7)) for k in range(5))  # over 300 characters
+    story = "\n".join([PROSE["en"]] * 5)
+    rows = [("", contents), ("Chapter 2", "Chapter 2\n" + PROSE["en"].split(".")[0] + ".\n" + contents), ("", things), ("", wide), ("", "Chapter 9: At the mill\n" + story), ("T", story), ("Chapter 9", "Chapter 9")]
+    df = make_chapters([dict(chapter_id=k, title=h, plain_text=t) for k, (h, t) in enumerate(rows)])
+    got = {r["chapter_id"]: r for r in quality.text_statistics(df).collect()}
+    assert {k for k, r in got.items() if r["kind"] == "prose"} == {4, 5, 6}
+    assert got[4]["own_lines"] == 5 and got[6]["own_lines"] == 0 and got[0]["own_lines"] == 8
+
+
+def test_long_site_notice():
+    notice = "If you find errors on this page, please write to the editors of the library, who read every letter with care, " + "and to the translators of all the other houses, " * 4 + "so that they can mend them."
+    story = PROSE["en"] + " “Rate this chapter,” said the old captain, and nobody knew why he had uses cookies in mind. " + PROSE["en"]
+    assert len(notice) > 250 and site_lines([[notice, story, PROSE["en"]]], [None]) == [[True, False, False]]
+
+
 def test_long_residue(make_chapters):
     trace = "Traceback (most recent call last):\n" + "\n".join(f'  File "/srv/app/part{k}.py", line {k}, in load\n    return the_reader.read(chapter, page, {k})' for k in range(40)) + "\nKeyError: 'body'"
     fields = "\n".join(f"The part named {{{{ field_{k} }}}} of the book {{{{ book.name }}}} belongs here" for k in range(30))
