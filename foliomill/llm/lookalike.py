@@ -3,8 +3,9 @@
 Pairs of strings that look the same (compatibility forms, composed and combining
 accents, letters shared by scripts, spaces, invisible characters) are joined into
 transitive classes by union-find. The member that occurs most often in the corpus
-represents its class. An Aho-Corasick automaton over all other members rewrites
-texts greedily, longest member first.
+represents its class; letters that several scripts share take the script of their
+word. An Aho-Corasick automaton over the members rewrites texts greedily, longest
+member first.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -128,75 +130,141 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
     return out
 
 
+EUROPEAN = ("Latin", "Greek", "Cyrillic")
+
+
+@cache
 def script(ch: str) -> str:
-    """Latin, Greek, Cyrillic, Arabic or "" for anything else."""
-    cp = ord(ch)
-    if cp < 0x250:
-        return "Latin" if ch.isalpha() else ""
-    if 0x370 <= cp < 0x400:
+    """Latin, Greek, Cyrillic, Arabic or "" for anything else; compatibility letters
+    have the script of their plain form."""
+    cp = ord(unicodedata.normalize("NFKC", ch)[:1] or ch)
+    if cp < 0x250 or 0x1E00 <= cp < 0x1F00:
+        return "Latin" if chr(cp).isalpha() else ""
+    if 0x370 <= cp < 0x400 or 0x1F00 <= cp < 0x2000:
         return "Greek"
     if 0x400 <= cp < 0x530:
         return "Cyrillic"
     return "Arabic" if 0x620 <= cp < 0x700 else ""
 
 
-_CROSS = {c: row.split()[0] for row in SCRIPT_LETTERS for c in row.split()[1:]}
 _PERSIAN = {c: row.split()[0] for row in ARABIC_LETTERS for c in row.split()[1:]}
+_FOREIGN = re.compile("[\u0370-\u052f]")
+_WORD = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f])*")
+
+
+@cache
+def cross_classes() -> dict[str, tuple[dict[str, str], list[str]]]:
+    """Member to (its class's plain letter of each script, the class), for classes that
+    have letters of several scripts."""
+    out = {}
+    for members in look_alike_classes():
+        by: dict[str, str] = {}
+        for m in members:
+            if len(m) == 1 and script(m) in EUROPEAN and unicodedata.is_normalized("NFKC", m):
+                by.setdefault(script(m), m)
+        if len(by) > 1:
+            out |= {m: (by, members) for m in members}
+    return out
 
 
 class Rewriter:
-    """The automaton over all members that aren't representatives, and a class of
-    the characters without which no member can occur."""
+    """The automata over the members of look-alike classes, and a class of the
+    characters without which no member can occur.
+
+    Members that aren't representatives are rewritten wherever they stand. Letters
+    shared by scripts belong to the word they stand in, whichever of them is the
+    commonest, so all of them are members; the Latin ones are only looked for in
+    texts that also have Greek or Cyrillic letters."""
 
     def __init__(self, mapping: dict[str, str]) -> None:
-        self.automaton = ahocorasick.Automaton()
-        for member, best in mapping.items():
-            if member:
-                self.automaton.add_word(member, (len(member), member, best))
-        self.automaton.make_automaton()
-        last = {m[-1] for m in mapping if m}
+        self.mapping = mapping
+        self.cross = cross_classes()
+        shared = {m for m in self.cross if m}
+        latin = {by["Latin"] for by, _ in self.cross.values() if "Latin" in by}
+        members = {m for m in mapping if m} | shared | set(_PERSIAN)
+        self.usual, self.mixed = self._automaton(members - latin), self._automaton(members)
+        last = {m[-1] for m in members - latin}
         self._low = re.compile("[" + "".join(sorted(re.escape(c) for c in last if c <= "\uffff")) + "]")
         self._high = re.compile("[\U00010000-\U0010ffff]")
 
+    @staticmethod
+    def _automaton(members: set[str]) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
+        for m in members:
+            out.add_word(m, m)
+        out.make_automaton()
+        return out
+
     def needed(self, text: str) -> bool:
         return bool(self._low.search(text) or self._high.search(text))
 
-
-def _word_at(text: str, i: int) -> tuple[int, int]:
-    a = b = i
-    while a > 0 and (text[a - 1].isalpha() or unicodedata.combining(text[a - 1])):
-        a -= 1
-    while b < len(text) and (text[b].isalpha() or unicodedata.combining(text[b])):
-        b += 1
-    return a, b
-
-
-def _truly_other(text: str, i: int) -> bool:
-    """Whether the look-alike letter at ``i`` is part of a word truly of its script.
-
-    It is not, if its word also has letters of the script looked like, or if all
-    its letters have look-alikes and no neighbouring word is of its script. Persian
-    letters are meant in texts that have letters only Persian or Urdu has."""
-    if text[i] in _PERSIAN:
-        return bool(_PERSIAN_TEXT.search(text))
-    a, b = _word_at(text, i)
-    word = text[a:b]
-    scripts = {script(ch) for ch in word} - {""}
-    if "Latin" in scripts:
-        return False
-    if any(ch not in _CROSS for ch in word):
-        return True
-    before = text[:a].rstrip(" ,.;:!?«»“”\"'’-–—\n")[-1:]
-    after = text[b:].lstrip(" ,.;:!?«»“”\"'’-–—\n")[:1]
-    own = script(text[i])
-    near = [ch for ch in (before, after) if ch and script(ch)]
-    if near and all(script(ch) == own and not _lone(text, ch) for ch in near):
-        return True
-    return not near and len(word) == len(text.strip())
-
-
-def _lone(text: str, ch: str) -> bool:
-    return ch in _CROSS and sum(1 for x in text if script(x) == "Latin") > len(text) // 4
+    def places(self, text: str) -> Iterator[tuple[int, str]]:
+        """(last position, member) of the members in a text, longest first."""
+        return (self.mixed if _FOREIGN.search(text) else self.usual).iter_long(text)
+
+    def written(self, member: str, start: int, scripts: Scripts) -> str:
+        """How a member found at ``start`` is to be written."""
+        pair = _PERSIAN.get(member)
+        if pair:
+            return member if scripts.persian() else pair
+        if member not in self.cross:
+            best = self.mapping.get(member, member)
+            return best if best not in _PERSIAN or scripts.persian() else member
+        by, members = self.cross[member]
+        best = self.mapping.get(members[0], members[0])
+        return by.get(scripts.at(start, script(best[0]))) or by.get(script(member[0])) or best
+
+
+class Scripts:
+    """The script to which each word of a text belongs, found once per text.
+
+    A word's script is that of most of its letters without look-alikes. Without such
+    letters it is that of the nearest words that have one, if those before and
+    after agree, else the commonest of the text. A text without any such word leaves a
+    word of one script as it is; one of several takes the commonest of its letters,
+    and at a tie the given one."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.starts: list[int] | None = None
+        self._persian: bool | None = None
+
+    def persian(self) -> bool:
+        """Whether a text has letters only Persian or Urdu has."""
+        if self._persian is None:
+            self._persian = bool(_PERSIAN_TEXT.search(self.text))
+        return self._persian
+
+    def _read(self) -> None:
+        cross = cross_classes()
+        self.starts, self.words, sure = [], [], []
+        for m in _WORD.finditer(self.text):
+            n = Counter(x for ch in m.group() if ch not in cross and (x := script(ch)) in EUROPEAN)
+            self.starts.append(m.start()), self.words.append(m.group())
+            sure.append(max(n, key=lambda x: (n[x], x)) if n else "")
+        total = Counter(x for x in sure if x)
+        self.common = max(total, key=lambda x: (total[x], x)) if total else ""
+        before, after, last = [], [], ""
+        for x in sure:
+            before.append(last)
+            last = x or last
+        last = ""
+        for x in reversed(sure):
+            after.append(last)
+            last = x or last
+        near = ((b or a) if not (a and b) or a == b else self.common for b, a in zip(before, reversed(after)))
+        self.scripts = [x or n or self.common for x, n in zip(sure, near)]
+
+    def at(self, position: int, tie: str) -> str:
+        if self.starts is None:
+            self._read()
+        k = bisect_right(self.starts, position) - 1
+        if k < 0:
+            return ""
+        if self.scripts[k]:
+            return self.scripts[k]
+        n = Counter(x for ch in self.words[k] if (x := script(ch)) in EUROPEAN)
+        return max(n, key=lambda x: (n[x], x == tie)) if n else tie
 
 
 def rewrite(text: str | None, rewriter: Rewriter) -> tuple[str | None, int]:
@@ -204,14 +272,15 @@ def rewrite(text: str | None, rewriter: Rewriter) -> tuple[str | None, int]:
     if not text or not rewriter.needed(text):
         return text, 0
     parts, at, n = [], 0, 0
-    for end, (length, member, best) in rewriter.automaton.iter_long(text):
-        start = end - length + 1
+    scripts = Scripts(text)
+    for end, member in rewriter.places(text):
+        start = end - len(member) + 1
         if start < at:
             continue
-        if (member in _CROSS or member in _PERSIAN) and _truly_other(text, start):
-            continue
-        parts += (text[at:start], best)
-        at, n = end + 1, n + 1
+        best = rewriter.written(member, start, scripts)
+        if best != member:
+            parts += (text[at:start], best)
+            at, n = end + 1, n + 1
     if not n:
         return text, 0
     return "".join(parts) + text[at:], n

@@ -268,6 +268,32 @@ def test_look_alikes(make_chapters):
     assert lookalike.one_form(df.where("false")).count() == 0
 
 
+def test_shared_letters_take_the_script_of_their_word():
+    """Whichever letter is the commonest: Latin words stay Latin, Cyrillic ones Cyrillic."""
+    for counts in ({"а": 50, "a": 3, "о": 60, "с": 9, "е": 70}, {"a": 50, "o": 60, "e": 70}):
+        once = lookalike.Rewriter(lookalike.representatives(counts))
+        same = ("a cat on a mat", "Мама мыла раму", "оса и рыба", "оса", "Anna met Мирослава and сорока at sea", "ace", "")
+        for t in same:
+            assert lookalike.rewrite(t, once)[0] == t
+        assert lookalike.rewrite("a cаt on a mаt", once) == ("a cat on a mat", 2)
+        assert lookalike.rewrite("Мaма мыла рaму", once) == ("Мама мыла раму", 2)
+        assert lookalike.rewrite("the сор came", once) == ("the cop came", 3)
+        assert lookalike.rewrite("ｃａｔ and mat", once) == ("cat and mat", 3)
+
+
+def test_rewriting_is_linear_in_the_text():
+    import time
+
+    once = lookalike.Rewriter(lookalike.representatives({"a": 5}))
+    took = []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        new, places = lookalike.rewrite("сор the door " * n, once)
+        took.append(time.perf_counter() - start)
+        assert places == 3 * n and new == "cop the door " * n
+    assert took[1] < 12 * took[0]
+
+
 def test_classes_are_transitive_and_stable():
     sets = lookalike.UnionFind()
     for a, b in (("a", "b"), ("c", "d"), ("b", "c"), ("x", "x")):
