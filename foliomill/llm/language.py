@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm import quality
-from foliomill.llm.common import bounded_sample, cut, map_batches
+from foliomill.llm.common import bounded_sample, cut, map_batches, pack, unpack
 from foliomill.llm.encoding import repair
 from foliomill.llm.quality import own_lines
 from foliomill.llm.residue import is_residue
@@ -41,6 +41,14 @@ NAMES = {
     "de": "deu ger german allemand alemán aleman deutsch الألمانية ألماني",
     "ar": "ara arabic arabe árabe arabisch العربية عربي",
 }
+#: The other two-letter codes of ISO 639-1.
+ISO_CODES = frozenset(
+    (
+        "aa ab ae af ak am an as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da dv dz ee el eo et eu fa ff fi fj fo fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz"
+        " ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny"
+        " oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
+    ).split()
+)
 _ALIASES = {n: code for code, names in NAMES.items() for n in (code, *names.split())}
 
 
@@ -54,7 +62,8 @@ def normal_code(code: str | None) -> str | None:
     s = code.strip().casefold()
     if s in _ALIASES:
         return _ALIASES[s]
-    return _ALIASES.get(re.split(r"[-_\s(]", s)[0])
+    first = re.split(r"[-_\s(]", s)[0]
+    return _ALIASES.get(first) or (first if first in ISO_CODES else None)
 
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -95,6 +104,16 @@ class LinearChain:
         self.trans = np.eye(n, dtype=np.float32)
         self.start = np.zeros(n, np.float32)
 
+    def save(self) -> bytes:
+        return pack({"languages": self.languages}, {"w": self.w, "trans": self.trans, "start": self.start})
+
+    @staticmethod
+    def load(payload: bytes) -> LinearChain:
+        facts, arrays = unpack(payload)
+        model = LinearChain(facts["languages"])
+        model.w, model.trans, model.start = arrays["w"], arrays["trans"], arrays["start"]
+        return model
+
     def emission(self, word: str) -> np.ndarray:
         return self.w[word_features(word)].sum(0)
 
@@ -153,7 +172,7 @@ class LinearChain:
         """Adagrad on the conditional log-likelihood."""
         r = np.random.default_rng(seed)
         n = len(self.languages)
-        gw, gt = np.full((DIMS, n), 1e-3, np.float32), np.full((n, n), 1e-3, np.float32)
+        gw, gt, gs = (np.full(shape, 1e-3, np.float32) for shape in ((DIMS, n), (n, n), n))
         index: dict[str, int] = {}
         feats: list[np.ndarray] = []
         for words, _ in sequences:
@@ -181,15 +200,21 @@ class LinearChain:
                 np.add.at(per_word, inverse, diff[mask])
                 grad = np.zeros_like(self.w)
                 size = np.array([len(feats[k]) for k in used])
-                np.add.at(grad, np.concatenate([feats[k] for k in used]), np.repeat(per_word, size, axis=0))
+                flat = np.concatenate([feats[k] for k in used])
+                by = np.argsort(flat, kind="stable")
+                first = np.flatnonzero(np.diff(flat[by], prepend=-1))
+                grad[flat[by][first]] = np.add.reduceat(np.repeat(per_word, size, axis=0)[by], first, axis=0)
                 both = mask[1:] & mask[:-1]
                 seen = np.zeros((n, n), np.float32)
                 np.add.at(seen, (gold[:-1][both], gold[1:][both]), 1)
                 gtrans = seen - pairs
+                gstart = diff[0][mask[0]].sum(0)
                 gw += grad * grad
                 gt += gtrans * gtrans
+                gs += gstart * gstart
                 self.w += RATE * grad / np.sqrt(gw)
                 self.trans += RATE * gtrans / np.sqrt(gt)
+                self.start += RATE * gstart / np.sqrt(gs)
 
 
 def training_sequences(rows: list[tuple[str, str]], languages: list[str], seed: int = 11) -> list[tuple[list[str], list[int]]]:
@@ -218,12 +243,14 @@ def training_sequences(rows: list[tuple[str, str]], languages: list[str], seed:
     return out
 
 
-def train_languages(documents: DataFrame) -> LinearChain:
-    """The field for the languages of the labelled documents; English, French,
-    Spanish, German and Arabic where there are none."""
+def fit(documents: DataFrame) -> LinearChain:
+    """The field for the languages of the labelled documents. Without any there is
+    nothing to learn from, which is an error."""
     rows = bounded_sample(documents.where("text IS NOT NULL AND text <> ''"), "doc_id", F.col("lang"), SAMPLE_PER_LANGUAGE, ["doc_id", "text", "lang"])
     pairs = [(r["text"], c) for r in rows if (c := normal_code(r["lang"]))]
-    model = LinearChain(sorted({c for _, c in pairs}) or sorted(NAMES))
+    if not pairs:
+        raise ValueError("no document has a text and a known language to learn from")
+    model = LinearChain(sorted({c for _, c in pairs}))
     model.train(training_sequences(pairs, model.languages))
     return model
 
@@ -350,7 +377,7 @@ def _texts(books: DataFrame, chapters: DataFrame) -> DataFrame:
     return own.unionByName(about)
 
 
-def languages(books: DataFrame, chapters: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def languages(books: DataFrame, chapters: DataFrame, model: LinearChain) -> tuple[DataFrame, DataFrame]:
     """(works, segments).
 
     Works: ``book_id``, ``lang``, ``confidence`` (its share of the expected words of the
@@ -360,14 +387,13 @@ def languages(books: DataFrame, chapters: DataFrame, documents: DataFrame) -> tu
     Segments: ``chapter_id``, ``lang``, ``first``, ``sentences``, ``confidence`` of every
     run of sentences of one language; a chapter of one language has one.
     """
-    model = train_languages(documents)
     got = cut(label_texts(_texts(books, chapters), model))
     langs = model.languages
     sums = got.groupBy("book_id").agg(*[F.sum(F.col("mass")[k]).alias(f"m{k}") for k in range(len(langs))])
     total = sum(F.col(f"m{k}") for k in range(len(langs)))
     best = F.array_max(F.array(*[F.struct(F.col(f"m{k}").alias("m"), F.lit(x).alias("lang")) for k, x in enumerate(langs)]))
     works = sums.where(total > 0).select("book_id", best["lang"].alias("lang"), (best["m"] / total).alias("confidence"))
-    alias = F.create_map(*[F.lit(x) for pair in _ALIASES.items() for x in pair])
+    alias = F.create_map(*[F.lit(x) for pair in ({c: c for c in ISO_CODES} | _ALIASES).items() for x in pair])
     code = F.lower(F.trim("language_code"))
     label = F.coalesce(F.try_element_at(alias, code), F.try_element_at(alias, F.split(code, r"[-_\s(]")[0]))
     works = books.select("book_id", label.alias("label")).join(works, "book_id", "left")
@@ -376,10 +402,10 @@ def languages(books: DataFrame, chapters: DataFrame, documents: DataFrame) -> tu
     return works, segs
 
 
-def found(books: DataFrame, chapters: DataFrame, documents: DataFrame) -> DataFrame:
+def found(books: DataFrame, chapters: DataFrame, model: LinearChain) -> DataFrame:
     """``src_table``, ``row_id``, ``lang``: works whose label is missing or wrong, and
     each language of chapters with at least two sentences running in two or more."""
-    works, segs = languages(books, chapters, documents)
+    works, segs = languages(books, chapters, model)
     long = segs.where(F.col("sentences") >= SENTENCES).groupBy("chapter_id").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
     mixed = long.where(F.size("langs") > 1).select(F.lit("chapters").alias("src_table"), F.col("chapter_id").alias("row_id"), F.explode("langs").alias("lang"))
     return works.where("wrong").select(F.lit("books").alias("src_table"), F.col("book_id").alias("row_id"), "lang").unionByName(mixed)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import boilerplate, encoding, language, leakage, lookalike, mixing, quality, reading, repeated_lines, residue
-from foliomill.llm.common import table
+from foliomill.llm.common import shared_model, table
 
 
 def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -27,24 +27,36 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_restored(spark, d).select("src_table", "row_id", "field")
 
 
+def _languages(spark: SparkSession, d: str) -> language.LinearChain:
+    return shared_model(spark, d, "p3", ("documents",), lambda: language.fit(table(spark, d, "documents")))
+
+
 def p3_works(spark: SparkSession, d: str) -> DataFrame:
-    return language.languages(table(spark, d, "books"), table(spark, d, "chapters"), table(spark, d, "documents"))[0]
+    return language.languages(table(spark, d, "books"), table(spark, d, "chapters"), _languages(spark, d))[0]
 
 
 def p3_segments(spark: SparkSession, d: str) -> DataFrame:
-    return language.languages(table(spark, d, "books"), table(spark, d, "chapters"), table(spark, d, "documents"))[1]
+    return language.languages(table(spark, d, "books"), table(spark, d, "chapters"), _languages(spark, d))[1]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.found(table(spark, d, "books"), table(spark, d, "chapters"), table(spark, d, "documents"))
+    return language.found(table(spark, d, "books"), table(spark, d, "chapters"), _languages(spark, d))
+
+
+def _labeller(spark: SparkSession, d: str) -> boilerplate.Labeller | None:
+    return shared_model(spark, d, "p4", ("chapters", "pages"), lambda: boilerplate.fit(table(spark, d, "chapters"), table(spark, d, "pages")))
 
 
 def p4_main_content(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.main_content(table(spark, d, "chapters"))
+    return boilerplate.main_content(table(spark, d, "chapters"), _labeller(spark, d))
+
+
+def p4_pages(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.page_content(table(spark, d, "pages"), _labeller(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    labels = boilerplate.boilerplate(table(spark, d, "chapters"))
+    labels = boilerplate.boilerplate(table(spark, d, "chapters"), _labeller(spark, d))
     return labels.select("chapter_id", F.explode("boilerplate").alias("block_idx"))
 
 
@@ -90,7 +102,8 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
-    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "labels"))
+    documents, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return reading.reading_levels(documents, shared_model(spark, d, "p10", ("documents", "labels"), lambda: reading.fit(documents, labels)))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_segments": p3_segments,
     "p4_found": p4_found,
     "p4_main_content": p4_main_content,
+    "p4_pages": p4_pages,
     "p5_found": p5_found,
     "p5_without_lines": p5_without_lines,
     "p6_found": p6_found,
