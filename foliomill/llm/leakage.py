@@ -67,6 +67,10 @@ class Postings:
         self.most = max(impacts)
         self.at = 0
 
+    def block_end(self) -> int:
+        """The last item of the block at hand."""
+        return self.items[min((self.at // BLOCK + 1) * BLOCK, len(self.items)) - 1]
+
     def seek(self, item: int) -> int | None:
         """The first item from ``item`` on; whole blocks are skipped by their last."""
         items = self.items
@@ -126,11 +130,16 @@ class Index:
                 break
             if current[0][0] == pivot:
                 here = [p for item, p in current if item == pivot]
-                if sum(p.block_max[p.at // BLOCK] for p in here) >= self.threshold[pivot]:
+                target = pivot + 1
+                most = sum(p.block_max[p.at // BLOCK] for p in here)
+                if most >= self.threshold[pivot]:
                     score = sum(p.impacts[p.at] for p in here)
                     if score >= self.threshold[pivot]:
                         found.append((pivot, score))
-                target = pivot + 1
+                elif most < self.least:
+                    # nothing up to the end of these blocks, or to the next list, can reach it
+                    others = [item for item, _ in current if item > pivot]
+                    target = max(target, min([p.block_end() + 1 for p in here] + others[:1]))
             else:
                 target = pivot
             moved = [(p.seek(target) if item < target else item, p) for item, p in current]
@@ -186,10 +195,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for k in range(passes):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        sent = documents.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])
+        # built once; a worker process reads it once, however many tasks it runs
+        sent = documents.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in block.collect()]))
 
         def make(sent=sent) -> Callable:
-            index = Index(sent.value)
+            index = sent.value
 
             def run(cols: dict[str, list]) -> dict[str, list]:
                 got = leaks_of(index, cols["text"])
