@@ -1,44 +1,91 @@
-"""Image headers."""
+"""Image headers, read by the structure their formats define.
+
+PNG is a list of chunks of which the first is the header, GIF begins with a screen
+descriptor, JPEG is a list of marked segments, WebP a RIFF container of chunks. Nothing
+is read beyond the end of the data; what doesn't follow its format has no dimensions.
+"""
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
+
+#: JPEG markers without a length, those that begin a frame, and the scan.
+_BARE = frozenset((0x01, *range(0xD0, 0xD9)))
+_FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
+_SCAN, _END = 0xDA, 0xD9
+_PNG = b"\x89PNG\r\n\x1a\n"
 
 
-def _jpeg(data: bytes) -> tuple[int, int]:
-    at = 2
-    while at + 9 < len(data):
-        if data[at] != 0xFF:
-            at += 1
+def jpeg_segments(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(marker, content) of the segments before the first scan. Bytes between segments
+    are skipped up to the next marker."""
+    mark = data.find(b"\xff", 2)
+    while 0 <= mark < len(data) - 3:
+        kind = data[mark + 1]
+        if kind in (0x00, 0xFF) or kind in _BARE:
+            mark = data.find(b"\xff", mark + (1 if kind == 0xFF else 2))
             continue
-        marker, length = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-            return width, height
-        at += 2 + length
-    return 0, 0
+        if kind in (_SCAN, _END):
+            return
+        (size,) = struct.unpack_from(">H", data, mark + 2)
+        yield kind, data[mark + 4 : mark + 2 + size]
+        mark = data.find(b"\xff", mark + 2 + max(size, 2))
+
+
+def jpeg_frame(data: bytes) -> tuple[int, int, int]:
+    """(width, height, components) of a JPEG file; zeros without a whole frame header."""
+    for kind, content in jpeg_segments(data):
+        if kind in _FRAMES and len(content) >= 6:
+            _, height, width, parts = struct.unpack_from(">BHHB", content)
+            return width, height, parts
+    return 0, 0, 0
+
+
+def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(type, content) of the whole chunks of a PNG file."""
+    at = len(_PNG) if data.startswith(_PNG) else len(data)
+    while at + 8 <= len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        if at + 8 + size > len(data):
+            return
+        yield kind, data[at + 8 : at + 8 + size]
+        at += 12 + size
+
+
+def _png(data: bytes) -> tuple[int, int]:
+    kind, content = next(png_chunks(data), (b"", b""))
+    return struct.unpack_from(">II", content) if kind == b"IHDR" and len(content) >= 8 else (0, 0)
+
+
+def _gif(data: bytes) -> tuple[int, int]:
+    return struct.unpack_from("<HH", data, 6) if data.startswith(b"GIF8") and len(data) > 10 else (0, 0)
 
 
 def _webp(data: bytes) -> tuple[int, int]:
-    kind = data[12:16]
-    if kind == b"VP8X":
-        return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
-    if kind == b"VP8 ":
-        width, height = struct.unpack("<HH", data[26:30])
-        return width & 0x3FFF, height & 0x3FFF
-    if kind == b"VP8L":
-        bits = int.from_bytes(data[21:25], "little")
-        return (bits & 0x3FFF) + 1, ((bits >> 14) & 0x3FFF) + 1
+    """The first chunk that tells: extended canvas, lossy key frame or lossless header."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        return 0, 0
+    at = 12
+    while at + 8 <= len(data):
+        kind, size = struct.unpack_from("<4sI", data, at)
+        body = data[at + 8 : at + 8 + max(size, 10)]  # a header stands there whatever size is said
+        if kind == b"VP8X" and len(body) >= 10:
+            sides = body[4:7], body[7:10]
+            return tuple(int.from_bytes(x, "little") + 1 for x in sides)
+        if kind == b"VP8 " and len(body) >= 10:
+            return tuple(x % (1 << 14) for x in struct.unpack_from("<HH", body, 6))
+        if kind == b"VP8L" and len(body) >= 5:
+            (bits,) = struct.unpack_from("<I", body, 1)
+            return bits % (1 << 14) + 1, (bits >> 14) % (1 << 14) + 1
+        at += 8 + size + size % 2
     return 0, 0
 
 
+_READERS = {"image/png": _png, "image/gif": _gif, "image/jpeg": lambda data: jpeg_frame(data)[:2], "image/webp": _webp}
+
+
 def dimensions(data: bytes | None, mime: str | None) -> tuple[int, int]:
     """(width, height) by the header; zeros for unknown, short and broken data."""
-    data = data or b""
-    if mime == "image/png" and len(data) > 24:
-        return struct.unpack(">II", data[16:24])
-    if mime == "image/gif" and len(data) > 10:
-        return struct.unpack("<HH", data[6:10])
-    if mime == "image/jpeg":
-        return _jpeg(data)
-    return _webp(data) if mime == "image/webp" and len(data) > 30 else (0, 0)
+    read = _READERS.get(mime or "")
+    return read(data) if read and data else (0, 0)
