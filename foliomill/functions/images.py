@@ -8,8 +8,11 @@ is read beyond the end of the data; what doesn't follow its format has no dimens
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
+
 #: JPEG markers without a length, those that begin a frame, and the scan.
 _BARE = frozenset((0x01, *range(0xD0, 0xD9)))
 _FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
@@ -89,3 +92,63 @@ def dimensions(data: bytes | None, mime: str | None) -> tuple[int, int]:
     """(width, height) by the header; zeros for unknown, short and broken data."""
     read = _READERS.get(mime or "")
     return read(data) if read and data else (0, 0)
+
+
+def png_pixels(data: bytes) -> tuple[dict, list[bytes]] | None:
+    """What a page description needs of a PNG file: its header fields with the palette, and
+    its compressed rows, followed by the alpha rows where it has any. None for
+    interlaced, broken and unusual files."""
+    header, rows, palette = b"", [], b""
+    for kind, content in png_chunks(data):
+        if kind == b"IHDR":
+            header = content
+        elif kind == b"PLTE":
+            palette = content
+        elif kind == b"IDAT":
+            rows.append(content)
+    if len(header) < 13 or not rows:
+        return None
+    width, height, bits, colour, _, _, interlaced = struct.unpack(">IIBBBBB", header[:13])
+    samples = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if interlaced or not samples or not width or not height or (colour == 3 and not palette):
+        return None
+    try:
+        raw = zlib.decompress(b"".join(rows))
+    except zlib.error:
+        return None
+    if len(raw) != height * (1 + (width * samples * bits + 7) // 8):
+        return None
+    facts = {"width": width, "height": height, "bits": bits, "samples": samples, "palette": palette}
+    if samples in (1, 3):
+        return facts, [b"".join(rows)]
+    if bits != 8:
+        return None
+    pixels = _unfiltered(raw, width * samples, height, samples).reshape(height, width, samples)
+    parts = pixels[:, :, : samples - 1], pixels[:, :, samples - 1 :]
+    return facts | {"samples": samples - 1}, [zlib.compress(np.ascontiguousarray(x).tobytes(), 6) for x in parts]
+
+
+def _unfiltered(raw: bytes, stride: int, height: int, step: int) -> np.ndarray:
+    """The rows of a PNG image without their line filters."""
+    lines = np.frombuffer(raw, np.uint8).reshape(height, stride + 1)
+    out = np.zeros((height + 1, stride), np.uint8)
+    for k in range(height):
+        kind, line, above = lines[k, 0], lines[k, 1:], out[k]
+        if kind == 0:
+            out[k + 1] = line
+        elif kind == 1:  # each sample adds the one of the pixel before
+            out[k + 1] = np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
+        elif kind == 2:
+            out[k + 1] = line + above
+        else:
+            row, up = out[k + 1], above.astype(int)
+            for x in range(stride):
+                left = int(row[x - step]) if x >= step else 0
+                corner = int(up[x - step]) if x >= step else 0
+                if kind == 3:
+                    guess = (left + up[x]) // 2
+                else:
+                    options = ((abs(up[x] - corner), left), (abs(left - corner), int(up[x])), (abs(left + up[x] - 2 * corner), corner))
+                    guess = min(options, key=lambda o: o[0])[1]
+                row[x] = (int(line[x]) + guess) & 0xFF
+    return out[1:]

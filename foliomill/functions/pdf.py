@@ -6,11 +6,13 @@ one, text is set in the reader's Courier and letters it lacks become question ma
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 import zlib
 from functools import cache
 
+from foliomill.functions import images
 from foliomill.functions.shaping import visual
 from foliomill.functions.text import HEADERS
 
@@ -117,6 +119,8 @@ class Writer:
         self.used: dict[int, int] = {}
         self.widths: dict[tuple[str, float, bool], float] = {}
         self.pages: list[list[bytes]] = [[]]
+        self.drawn: dict[bytes, int] = {}
+        self.streams: dict[int, tuple[dict, bytes, bytes | None]] = {}
         self.y = HIGH - MARGIN
 
     def measure(self, text: str, size: float) -> float:
@@ -182,6 +186,36 @@ class Writer:
                 self.put(shown, WIDE - MARGIN - self.measure(shown, size) if rtl else MARGIN, self.y, size)
         self.y -= gap
 
+    def picture(self, data: bytes | None, mime: str | None, most_high: float = HIGH / 2) -> bool:
+        """Draw a JPEG or PNG picture in the width of the text; False if it can't be."""
+        found = _picture_stream(data or b"", mime)
+        if not found:
+            return False
+        key = hashlib.sha1(data or b"").digest()
+        number = self.drawn.setdefault(key, len(self.drawn) + 1)
+        self.streams[number] = found
+        wide, high = found[0]["Width"], found[0]["Height"]
+        scale = min((WIDE - 2 * MARGIN) / wide, most_high / high)
+        wide, high = wide * scale, high * scale
+        if self.y - high < MARGIN:
+            self.new_page()
+        self.y -= high + LEAD / 2
+        self.pages[-1].append(f"q {wide:.2f} 0 0 {high:.2f} {(WIDE - wide) / 2:.2f} {self.y:.2f} cm /Im{number} Do Q".encode())
+        return True
+
+    def _picture_objects(self, first: int) -> tuple[dict[int, int], list[bytes]]:
+        """Picture number to object number, and the objects, which begin at ``first``."""
+        places, out = {}, []
+        for number in sorted(self.streams):
+            facts, data, mask = self.streams[number]
+            if mask is not None:
+                soft = {"Width": facts["Width"], "Height": facts["Height"], "ColorSpace": "/DeviceGray", "BitsPerComponent": 8, "Filter": "/FlateDecode"}
+                out.append(_stream(soft, mask))
+                facts = facts | {"SMask": f"{first + len(out) - 1} 0 R"}
+            out.append(_stream(facts, data))
+            places[number] = first + len(out) - 1
+        return places, out
+
     def _font_objects(self) -> list[bytes]:
         if self.font is None:
             return [b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"]
@@ -208,11 +242,14 @@ class Writer:
             page.append(f"BT /F1 9 Tf {(WIDE - self.measure(shown, 9)) / 2:.2f} {MARGIN / 2:.2f} Td ".encode() + self._show(shown) + b" Tj ET")
         fonts = self._font_objects()
         first = 3 + len(fonts)
+        places, drawn = self._picture_objects(first)
+        first += len(drawn)
+        pictures = f" /XObject << {' '.join(f'/Im{n} {at} 0 R' for n, at in places.items())} >>" if places else ""
         kids = " ".join(f"{first + 2 * k} 0 R" for k in range(len(self.pages)))
-        objects = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(self.pages)} >>".encode(), *fonts]
+        objects = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(self.pages)} >>".encode(), *fonts, *drawn]
         for k, page in enumerate(self.pages):
             data = zlib.compress(b"\n".join(page), 6)
-            objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {WIDE} {HIGH}] /Resources << /Font << /F1 3 0 R >> >> /Contents {first + 2 * k + 1} 0 R >>".encode())
+            objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {WIDE} {HIGH}] /Resources << /Font << /F1 3 0 R >>{pictures} >> /Contents {first + 2 * k + 1} 0 R >>".encode())
             objects.append(f"<< /Length {len(data)} /Filter /FlateDecode >>\nstream\n".encode() + data + b"\nendstream")
         out, places = bytearray(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"), []
         for k, body in enumerate(objects, 1):
@@ -224,13 +261,41 @@ class Writer:
         return bytes(out)
 
 
+def _stream(facts: dict, data: bytes) -> bytes:
+    said = " ".join(f"/{k} {v}" for k, v in ({"Type": "/XObject", "Subtype": "/Image"} | facts | {"Length": len(data)}).items())
+    return f"<< {said} >>\nstream\n".encode() + data + b"\nendstream"
+
+
+def _picture_stream(data: bytes, mime: str | None) -> tuple[dict, bytes, bytes | None] | None:
+    """(dictionary, data, alpha) of a picture; JPEG data is taken as it is, PNG rows too
+    unless they hold alpha. None for other formats and broken files."""
+    spaces = {1: "/DeviceGray", 3: "/DeviceRGB", 4: "/DeviceCMYK"}
+    if data.startswith(b"\xff\xd8"):
+        wide, high, parts = images.jpeg_frame(data)
+        if not wide or not high or parts not in spaces:
+            return None
+        return {"Width": wide, "Height": high, "ColorSpace": spaces[parts], "BitsPerComponent": 8, "Filter": "/DCTDecode"}, data, None
+    found = images.png_pixels(data)
+    if not found:
+        return None
+    facts, rows = found
+    n, bits, palette = facts["samples"], facts["bits"], facts["palette"]
+    space = f"[/Indexed /DeviceRGB {len(palette) // 3 - 1} <{palette.hex()}>]" if palette and n == 1 else spaces[n]
+    out = {"Width": facts["width"], "Height": facts["height"], "ColorSpace": space, "BitsPerComponent": bits, "Filter": "/FlateDecode"}
+    if len(rows) == 1:
+        out["DecodeParms"] = f"<< /Predictor 15 /Colors {n} /BitsPerComponent {bits} /Columns {facts['width']} >>"
+    return out, rows[0], rows[1] if len(rows) > 1 else None
+
+
 def pdf(work: dict, font_path: str | None = None) -> bytes:
-    """A work as PDF: title page, then each part on a new page, then what is missing.
-    Pictures are named in the text, not drawn."""
+    """A work as PDF: cover, title page, then each part on a new page with its pictures,
+    then what is missing. Pictures that can't be drawn are named in the text."""
     lang = (work["language_code"] or "")[:2].lower() or "ar"
     rtl = lang == "ar"
     w = Writer(load_font(font_path))
-    w.y -= 80
+    stored = {p["src"]: p for p in work["images"] or []}
+    if not w.picture(work["cover"], work["cover_mime"]):
+        w.y -= 80
     w.paragraph(work["title"], TITLE + 4, rtl, 12)
     for x in (work["author"], work["source_url"], work["description"]):
         w.paragraph(x, BODY, rtl)
@@ -239,7 +304,9 @@ def pdf(work: dict, font_path: str | None = None) -> bytes:
         w.paragraph(f"{c['idx']}. {c['title'] or ''}", TITLE, rtl, 12)
         for b in c["blocks"]:
             if b["type"] == "img":
-                w.paragraph(f"[{b['alt'] or b['src'] or ''}]", BODY - 2, rtl)
+                p = stored.get(b["src"])
+                if not p or not w.picture(p["bytes"], p["mime"]):
+                    w.paragraph(f"[{b['alt'] or b['src'] or ''}]", BODY - 2, rtl)
             else:
                 w.paragraph(b["text"], BODY + (1.5 if b["type"] == "h" else 0), rtl)
     if work["unavailable"]:

@@ -248,7 +248,7 @@ def binary(kind: str, books: DataFrame, chapters: DataFrame, images: DataFrame)
     fields = books.select("book_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "author", "description", "source_url", "language_code")], "cover", "cover_mime")
     by = ["book_id", "volume"]
     rows = keys.join(fields, "book_id").join(pairs, by, "left").join(gone, by, "left")
-    pics = pictures(chapters, images) if kind != "pdf" else keys.where("false").withColumn("images", F.lit(None).cast("array<struct<n:bigint,src:string,bytes:binary,mime:string,width:int,height:int>>"))
+    pics = pictures(chapters, images)
     none = F.array().cast(f"array<struct<idx:int,title:string,blocks:array<{B.BLOCK}>>>")
     rows = rows.join(pics, by, "left").withColumn("chapters", F.coalesce("chapters", none))
     return rows.mapInArrow(_pack(kind, to_arrow_schema(T._parse_datatype_string(_OUT))), _OUT)

@@ -2,8 +2,10 @@
 
 import io
 import json
+import random
 import struct
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pytest
@@ -91,6 +93,46 @@ def test_dimensions():
     assert images.dimensions(None, None) == (0, 0) and images.dimensions(b"\xff\xd8", "image/jpeg") == (0, 0)
 
 
+def png(width, height, colour, rows, palette=b""):
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def filtered(pixels, kind, step):
+    """Rows of bytes with one line filter, by its definition."""
+    out, above = bytearray(), bytes(len(pixels[0]))
+    for row in pixels:
+        out.append(kind)
+        for x, v in enumerate(row):
+            a, b, c = (row[x - step] if x >= step else 0), above[x], (above[x - step] if x >= step else 0)
+            near = min(((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c)))[2]
+            out.append((v - (0, a, b, (a + b) // 2, near)[kind]) % 256)
+        above = row
+    return bytes(out)
+
+
+def test_png_filters_and_alpha():
+    rng = random.Random(1)
+    pixels = [bytes(rng.randrange(256) for _ in range(5 * 4)) for _ in range(4)]
+    for kind in range(5):
+        facts, (colour, alpha) = images.png_pixels(png(5, 4, 6, filtered(pixels, kind, 4)))
+        flat = b"".join(pixels)
+        assert zlib.decompress(alpha) == flat[3::4] and zlib.decompress(colour) == b"".join(flat[k : k + 3] for k in range(0, len(flat), 4)) and facts["samples"] == 3
+    assert images.png_pixels(PNG) is None and images.png_pixels(b"") is None and images.png_pixels(png(5, 4, 6, b"short")) is None
+
+
+def test_pdf_draws_pictures():
+    rgb, alpha = png(2, 2, 2, b"\0" + b"\1\2\3" * 2 + b"\0" + b"\4\5\6" * 2), png(2, 1, 6, b"\0" + b"\1\2\3\4" * 2)
+    jpeg = b"\xff\xd8\xff\xc0\x00\x11\x08" + struct.pack(">HHB", 9, 11, 3) + b"\0" * 9 + b"\xff\xd9"
+    w = pdf.Writer(None)
+    assert [w.picture(x, m) for x, m in ((rgb, "image/png"), (alpha, "image/png"), (jpeg, "image/jpeg"), (rgb, "image/png"), (b"GIF89a", "image/gif"), (None, None))] == [True] * 4 + [False] * 2
+    data = w.finish()
+    assert data.count(b"/Subtype /Image") == 4 and data.count(b"/SMask") == 1 and b"/DCTDecode" in data and b"/Predictor 15" in data and jpeg in data
+    work = dict(language_code="en", title="T", author="", source_url="", description="", cover=jpeg, cover_mime="image/jpeg", unavailable=[], images=[dict(src="a", bytes=rgb, mime="image/png")], chapters=[dict(idx=1, title="x", blocks=[block("img", None, "a"), block("img", None, "b", "lost")])])
+    assert pdf.pdf(work).count(b"/Subtype /Image") == 2
+
+
 def test_shaping():
     assert shape("سلام") == "ﺳﻼﻡ"
     assert visual("سلام (a)") == ")a( ﻡﻼﺳ" or visual("سلام (a)").endswith("ﻡﻼﺳ")
