@@ -54,12 +54,21 @@ def _key(b: Column) -> Column:
     return F.when(b["type"].isin("p", "h"), trimmed(F.coalesce(b["text"], F.lit(""))))
 
 
+def _first_of_key(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The items whose key none before them has, in order; those without a key all stay.
+
+    Equal keys are brought together by sorting, so that the time grows little faster
+    than the number of items."""
+    placed = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+    new = lambda ps: F.filter(ps, lambda p, j: p["k"].isNull() | (j == 0) | ~p["k"].eqNullSafe(F.get(ps, j - 1)["k"]))
+    kept = F.sort_array(F.transform(bound(placed, new), lambda p: p["i"]))
+    return F.transform(kept, lambda i: F.get(items, i))
+
+
 def first_of_text(blocks: Column) -> Column:
     """The first block of each text, images all kept; paragraphs and headings share
     one set of texts."""
-    keys = F.transform(blocks, _key)
-    first = lambda ks: F.filter(blocks, lambda b, i: ks[i].isNull() | (F.array_position(ks, ks[i]) == i + 1))
-    return bound(keys, first)
+    return bound(blocks, lambda bs: _first_of_key(bs, _key))
 
 
 def clean(blocks: Column, title: Column) -> Column:
@@ -67,12 +76,7 @@ def clean(blocks: Column, title: Column) -> Column:
     is_text = lambda x: x["b"]["type"].isin("p", "h")
     pairs = F.transform(blocks, lambda b: F.struct(b.alias("b"), trimmed(F.coalesce(b["text"], F.lit(""))).alias("t")))
     kept = lambda head: F.filter(pairs, lambda x: (~is_text(x) | (x["t"] != "")) & ~_noise(x["b"]["type"], x["t"], head))
-
-    def first(items: Column) -> Column:
-        keys = F.transform(items, lambda x: F.when(is_text(x), x["t"]))
-        unique = lambda ks: F.filter(items, lambda x, i: ks[i].isNull() | (F.array_position(ks, ks[i]) == i + 1))
-        return F.transform(bound(keys, unique), lambda x: x["b"])
-
+    first = lambda items: F.transform(_first_of_key(items, lambda x: F.when(is_text(x), x["t"])), lambda x: x["b"])
     return bound(bound(_flat(title), kept), first)
 
 

@@ -18,9 +18,11 @@ RANGE = 1024
 LAST = 1 << 40
 
 
-def ranges(number: Column) -> Column:
-    """The range of an ascending integer, nulls last."""
-    return F.coalesce(F.floor(number / RANGE), F.lit(LAST)).cast("long")
+def ranges(number: Column, then: Column | None = None) -> Column:
+    """The range of an ascending integer, nulls last; rows without a number, however many,
+    are split by the integer that orders them next."""
+    last = F.lit(LAST) if then is None else F.lit(LAST) + F.coalesce(F.floor(then / RANGE), F.lit(LAST))
+    return F.coalesce(F.floor(number / RANGE), last).cast("long")
 
 
 def _with_offsets(rows: DataFrame, group: str, coarse: Column, size: Column) -> DataFrame:

@@ -6,6 +6,8 @@ delivery of a part (by ``fetched_at``, then ``chapter_id``) is its current row.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,26 @@ def current(chapters: DataFrame) -> DataFrame:
     return latest(chapters, ["book_id", "idx"], [age.alias("a"), (-F.col("chapter_id")).alias("c")])
 
 
+def current_whole(chapters: DataFrame) -> DataFrame:
+    """``current`` for rows with texts and blocks: parts that were delivered once, nearly
+    all, stay where they are. Aggregates of narrow rows give the newest of the parts that
+    came again; older rows of these are taken out by a join that the planner broadcasts
+    where they are few. Only exact repetitions of a newest row go through ``current``."""
+    key = ["book_id", "idx"]
+    # time and id as one number, which aggregates by hash; times before the year one are null
+    age = F.coalesce(F.unix_micros("fetched_at"), F.lit(-(10**17)))
+    place = (age.cast("decimal(18,0)") * F.lit(Decimal(10**19))).cast("decimal(38,0)") + F.coalesce("chapter_id", F.lit(-(2**62))).cast("decimal(19,0)")
+    placed = chapters.withColumn("_at", place.cast("decimal(38,0)"))
+    rows = placed.groupBy(*key, "_at").agg(F.count("*").alias("_m"))
+    newest = rows.groupBy(*key).agg(F.max("_at").alias("_best"), F.sum("_m").alias("_n"), F.max("_m").alias("_most")).where("_n > 1")
+    newest = newest.select(F.col("book_id").alias("_book"), F.col("idx").alias("_idx"), "_best", "_most")
+    this = placed["book_id"].eqNullSafe(F.col("_book")) & placed["idx"].eqNullSafe(F.col("_idx"))
+    last = F.col("_at") == F.col("_best")
+    once = placed.join(newest, this, "left").where(F.col("_best").isNull() | (last & (F.col("_most") == 1)))
+    twice = placed.join(newest.where("_most > 1"), this).where(last)
+    return once.select(*chapters.columns).unionByName(current(twice.select(*chapters.columns)))
+
+
 def status_counts(chapters: DataFrame) -> DataFrame:
     """Parts of each work by state."""
     states = [F.count_if(F.col("status") == s).alias(s) for s in STATES]
@@ -154,7 +176,7 @@ def reset_failed(chapters: DataFrame) -> DataFrame:
 
 def exportable(chapters: DataFrame) -> DataFrame:
     """Current done parts that have text or an image."""
-    rows = current(chapters.select("chapter_id", "book_id", "idx", "title", "source_url", "status", "blocks", "plain_text", "fetched_at"))
+    rows = current_whole(chapters.select("chapter_id", "book_id", "idx", "title", "source_url", "status", "blocks", "plain_text", "fetched_at"))
     return rows.where((F.col("status") == "done") & ((trimmed(F.coalesce("plain_text", F.lit(""))) != "") | B.has_image(F.col("blocks"))))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
 from foliomill.functions import url as U
-from foliomill.operators import ranking, store
+from foliomill.operators import export, ranking, store
 from foliomill.plans.registry import CURRENT, LISTING, Registry, table
 
 query = Registry()
@@ -182,7 +182,7 @@ _ORD = r"""coalesce(try_cast(nullif(regexp_extract(title, '(?i)(?:الفصل|ا
 @query(f"WITH {LISTING} SELECT book_id, url, idx, {_ORD} AS ordinal, CAST(row_number() OVER (PARTITION BY book_id ORDER BY {_ORD} NULLS LAST, idx) AS INTEGER) AS n FROM refs")
 def ordinal_sort(spark, d):
     refs = store.listing(table(spark, d, "chapter_refs")).withColumn("ordinal", T.chapter_ordinal(F.col("title"), F.col("url")))
-    return ranking.dense_index(refs, "book_id", [F.col("ordinal").asc_nulls_last(), F.col("idx")], ranking.ranges(F.col("ordinal"))).select("book_id", "url", "idx", "ordinal", "n")
+    return ranking.dense_index(refs, "book_id", [F.col("ordinal").asc_nulls_last(), F.col("idx")], ranking.ranges(F.col("ordinal"), F.col("idx"))).select("book_id", "url", "idx", "ordinal", "n")
 
 
 @query(f"WITH {CURRENT} SELECT book_id, idx, CAST(row_number() OVER (PARTITION BY book_id ORDER BY idx) AS INTEGER) AS play_order FROM cur WHERE status = 'done'")
@@ -221,12 +221,12 @@ def distinct_images(spark, d):
     f"""WITH {_IMAGES}, firsts AS (SELECT book_id, src, min(struct_pack(a := idx, b := pos)) AS place FROM imgs GROUP BY book_id, src),
     sized AS (SELECT f.book_id, f.src, f.place, octet_length(i.bytes) AS size FROM firsts f JOIN images i ON f.src = i.src),
     summed AS (SELECT book_id, src, CAST(sum(size) OVER w AS BIGINT) AS running, CAST(count(*) OVER w AS BIGINT) AS n FROM sized WINDOW w AS (PARTITION BY book_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-    SELECT * FROM summed WHERE running <= 400 AND n <= 400"""
+    SELECT * FROM summed WHERE running <= 62914560 AND n <= 400"""
 )
 def byte_budget(spark, d):
     firsts = ranking.first_occurrences(_image_refs(spark, d), ["book_id", "src"], [F.col("idx"), F.col("pos")])
     sized = firsts.join(table(spark, d, "images").select("src", F.length("bytes").alias("size")), "src")
-    return ranking.within_budget(sized, "book_id", [F.col("idx"), F.col("pos")], ranking.ranges(F.col("idx")), "size", 400, 400).select("book_id", "src", "running", "n")
+    return ranking.within_budget(sized, "book_id", [F.col("idx"), F.col("pos")], ranking.ranges(F.col("idx")), "size", export.MOST_IMAGE_BYTES, export.MOST_IMAGES).select("book_id", "src", "running", "n")
 
 
 @query(
@@ -280,7 +280,7 @@ def status_label(spark, d):
 )
 def modern_order(spark, d):
     refs = store.listing(table(spark, d, "chapter_refs")).withColumn("number", U.modern_number(F.col("url")))
-    return ranking.dense_index(refs, "book_id", [F.col("number").asc_nulls_last(), F.col("idx")], ranking.ranges(F.col("number"))).select("book_id", "url", "number", "n")
+    return ranking.dense_index(refs, "book_id", [F.col("number").asc_nulls_last(), F.col("idx")], ranking.ranges(F.col("number"), F.col("idx"))).select("book_id", "url", "number", "n")
 
 
 @query(

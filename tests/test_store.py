@@ -117,3 +117,38 @@ def test_exports_in_volumes(spark, make_books, make_chapters, monkeypatch):
     df = make_chapters([dict(chapter_id=k, idx=k, title=f"t{k}", plain_text="x", blocks=[block("p", f"text {k}")]) for k in (1, 2, 3)])
     got = {r["volume"]: r["content"] for r in export.txt(make_books([dict()]), df).collect()}
     assert "text 1" in got[0] and "text 2" in got[0] and "text 3" in got[1] and "text 1" not in got[1]
+
+
+def test_whole_current_rows_are_the_current_rows(make_chapters):
+    import datetime as dt
+    import random
+
+    rng = random.Random(4)
+    times = [None, *[dt.datetime(2024, 1, d) for d in (1, 2, 3)]]
+    rows = [dict(chapter_id=rng.choice([None, *range(40)]), book_id=rng.choice([None, 1, 2]), idx=rng.choice([None, 1, 2, 3]), fetched_at=rng.choice(times), plain_text="x") for _ in range(120)]
+    rows += rows[:30] + [dict(chapter_id=900 + k, book_id=9, idx=k, plain_text="y") for k in range(5)]
+    df = make_chapters(rows, ", _best string, _at string")
+    from foliomill.operators import store
+
+    names = ["chapter_id", "book_id", "idx", "fetched_at", "plain_text"]
+    want = sorted(map(repr, store.current(df.select(*names)).collect()))
+    assert sorted(map(repr, store.current_whole(df.select(*names)).collect())) == want and store.current_whole(df.select(*names).where("false")).count() == 0
+
+
+def test_rows_without_number_are_split(spark):
+    from foliomill.operators import ranking
+
+    rows = [(1, None, k) for k in range(3000)] + [(1, k, k) for k in range(50)]
+    df = spark.createDataFrame(rows, "g int, number int, idx int")
+    coarse = ranking.ranges(F.col("number"), F.col("idx"))
+    assert df.select(coarse).distinct().count() == 4
+    got = ranking.dense_index(df, "g", [F.col("number").asc_nulls_last(), F.col("idx")], coarse).orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(1, 3051)) and [r["number"] for r in got[:50]] == list(range(50)) and [r["idx"] for r in got[50:]] == list(range(3000))
+
+
+def test_budget_ends_where_it_is_passed(spark):
+    from foliomill.operators import ranking
+
+    df = spark.createDataFrame([(1, k, 150 if k != 2 else None) for k in range(6)] + [(2, 0, 500)], "g int, idx int, size int")
+    got = ranking.within_budget(df, "g", [F.col("idx")], ranking.ranges(F.col("idx")), "size", 400, 400).collect()
+    assert sorted((r["g"], r["idx"], r["running"], r["n"]) for r in got) == [(1, 0, 150, 1), (1, 1, 300, 2), (1, 2, 300, 3)]
