@@ -12,7 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliomill.functions import blocks as B
 from foliomill.functions import page
-from foliomill.functions.text import trimmed, word_count
+from foliomill.functions import url as U
+from foliomill.functions.text import call_to_action, trimmed, word_count
 
 REF = "struct<idx:int,title:string,url:string>"
 META = f"page_id bigint, url string, adapter string, host string, title string, author string, description string, language_code string, cover_url string, chapters array<{REF}>"
@@ -74,6 +75,14 @@ def page_links(pages: DataFrame) -> DataFrame:
     return map_rows(pages.select("page_id", "url", "html"), _links, LINKS)
 
 
+def kept_links(links: DataFrame) -> DataFrame:
+    """``page_id``, ``href``, ``label``, ``position``: of all links those a listing keeps, filtered
+    in the JVM: on the page's own site, like a part's, and no call to read or sign in."""
+    href, label = F.col("href"), F.col("label")
+    keep = (U.origin(href) == U.origin(F.col("url"))) & ~U.listing_blacklist(href) & U.chapter_like(href, label) & (F.length(label) >= 2) & ~call_to_action(label)
+    return links.where(keep).groupBy("page_id", "href").agg(F.min_by("label", "position").alias("label"), F.min("position").alias("position"))
+
+
 def page_tags(pages: DataFrame) -> DataFrame:
     """Meta tags and linked data of every page."""
     return map_rows(pages.select("page_id", "html"), _tags, "page_id bigint, tags map<string,string>, linked_data array<string>")

@@ -67,7 +67,49 @@ def _files(kind: str):
     return run
 
 
-for _kind in ("html", "json", "fb2", "epub", "docx", "pdf"):
+_BASE = r"""left(regexp_replace(regexp_replace(regexp_replace(title, '[\\/:*?"<>|\n\r\t]', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g'), '^ | $', '', 'g'), 70)"""
+
+
+def _file(kind: str, mime: str) -> str:
+    return f"w.book_id, 0 AS volume, CASE WHEN {_BASE} = '' THEN 'book-' || w.book_id ELSE {_BASE} END || ' - ' || w.book_id || '.{kind}' AS filename, '{mime}' AS mime"
+
+
+def _json(value: str) -> str:
+    return f"CAST(to_json({value}) AS VARCHAR)"
+
+
+def _pairs(*names: tuple[str, str]) -> str:
+    """JSON members of values, those that are null left out, each with a comma before it."""
+    return " || ".join(f"CASE WHEN {v} IS NULL THEN '' ELSE ',\"{k}\":' || {_json(v)} END" for k, v in names)
+
+
+_BLOCK_JSON = f"'{{' || substr({_pairs(('type', 'b.type'), ('text', 'b.text'), ('src', 'b.src'), ('alt', 'b.alt'))}, 2) || '}}'"
+query(
+    f"""WITH {_WORKS}, parts AS (SELECT book_id, count(*) AS n, string_agg('{{"index":' || idx || {_pairs(('title', 'title'), ('url', 'source_url'))}
+        || CASE WHEN blocks IS NULL THEN '' ELSE ',"blocks":[' || array_to_string(list_transform(blocks, lambda b: {_BLOCK_JSON}), ',') || ']' END || {_pairs(('text', _TEXT))} || '}}', ',' ORDER BY idx) AS body FROM done GROUP BY book_id),
+    names AS (SELECT book_id, string_agg({_json("idx || '. ' || coalesce(title, '')")}, ',' ORDER BY idx) AS gone FROM cur WHERE status IS DISTINCT FROM 'done' GROUP BY book_id)
+    SELECT {_file("json", "application/json; charset=utf-8")}, '{{"title":' || {_json("title")} || ',"author":' || {_json("author")} || ',"description":' || {_json("description")} || ',"language":' || {_json("coalesce(code, '')")} || ',"source":' || {_json("source_url")}
+      || ',"chapterCount":' || coalesce(n, 0) || ',"unavailableChapters":[' || coalesce(gone, '') || '],"chapters":[' || coalesce(body, '') || ']}}' AS content
+    FROM works w LEFT JOIN parts p ON w.book_id = p.book_id LEFT JOIN names g ON w.book_id = g.book_id LEFT JOIN (SELECT book_id, language_code AS code FROM books) c ON w.book_id = c.book_id"""
+)(_files("json"))
+
+
+def _esc(value: str) -> str:
+    return f"replace(replace(replace(replace(coalesce({value}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+_BLOCK_HTML = f"""CASE WHEN b.type = 'img' THEN '<figure><img src="' || {_esc("b.src")} || '" alt="' || {_esc("b.alt")} || '" loading="lazy" /></figure>' WHEN coalesce(b.text, '') = '' THEN ''
+  WHEN b.type = 'h' THEN '<h3>' || {_esc("b.text")} || '</h3>' ELSE '<p>' || {_esc("b.text")} || '</p>' END"""
+query(
+    f"""WITH {_WORKS}, parts AS (SELECT book_id, string_agg('<li><a href="#ch-' || idx || '">' || {_esc("title")} || '</a></li>', {N} ORDER BY idx) AS toc,
+      string_agg('<section id="ch-' || idx || '">' || {N} || '<h2>' || idx || '. ' || {_esc("title")} || '</h2>' || {N} || array_to_string(list_transform(coalesce(blocks, []), lambda b: {_BLOCK_HTML}), {N}) || {N} || '</section>', {N} ORDER BY idx) AS body FROM done GROUP BY book_id)
+    SELECT {_file("html", "text/html; charset=utf-8")}, '<!doctype html>' || {N} || '<html lang="' || l || '" dir="' || CASE l WHEN 'ar' THEN 'rtl' ELSE 'ltr' END || '">' || {N} || '<head>' || {N} || '<meta charset="utf-8" />' || {N} || '<title>' || {_esc("title")} || '</title>'
+      || {N} || '</head>' || {N} || '<body>' || {N} || '<header>' || {N} || CASE WHEN w.c > 0 THEN '<img alt="" src="data:' || coalesce(cover_mime, 'image/jpeg') || ';base64,' || to_base64(cover) || '" />' || {N} ELSE '' END || '<h1>' || {_esc("title")} || '</h1>' || {N} || '<div>'
+      || CASE WHEN author <> '' THEN {_head("المؤلف", "Auteur", "Author")} || ': ' || {_esc("author")} || ' • ' ELSE '' END || {_esc("source_url")} || '</div>' || {N} || '</header>' || {N} || CASE WHEN description <> '' THEN '<p>' || {_esc("description")} || '</p>' || {N} ELSE '' END
+      || '<nav><h2>' || {_head("المحتويات", "Sommaire", "Contents")} || '</h2><ol>' || {N} || coalesce(toc, '') || {N} || '</ol></nav>' || {N} || coalesce(body, '') || CASE WHEN missing IS NULL THEN '' ELSE {N} || '<div><p>' || {_esc(_NOTES)} || '</p></div>' END || {N} || '</body>' || {N} || '</html>' AS content
+    FROM works w LEFT JOIN parts p ON w.book_id = p.book_id LEFT JOIN (SELECT book_id, cover, cover_mime FROM books) k ON w.book_id = k.book_id"""
+)(_files("html"))
+for _kind in ("fb2", "epub", "docx", "pdf"):
     query()(_files(_kind))
 
 

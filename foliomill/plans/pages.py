@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliomill.functions import url as U
 from foliomill.operators import pages
 from foliomill.plans.registry import Registry, table
 
@@ -45,10 +44,7 @@ def extract_content(spark, d):
 @query()
 def generic_links(spark, d):
     """The links a listing keeps, filtered in the JVM from all links."""
-    rows = pages.page_links(table(spark, d, "pages"))
-    href, label = F.col("href"), F.col("label")
-    keep = (U.origin(href) == U.origin(F.col("url"))) & ~U.listing_blacklist(href) & U.chapter_like(href, label) & (F.length(label) >= 2)
-    return rows.where(keep).groupBy("page_id", "href").agg(F.min_by("label", "position").alias("label"), F.min("position").alias("position"))
+    return pages.kept_links(pages.page_links(table(spark, d, "pages")))
 
 
 @query()

@@ -53,7 +53,8 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", [q for q in core.QUERIES if q not in core.ORACLES])
 def test_query_runs(spark, name):
-    assert core.QUERIES[name](spark, DATA).columns
+    df = core.QUERIES[name](spark, DATA)
+    assert df.columns and isinstance(df.collect(), list)
 
 
 def test_entry_and_names(spark):
