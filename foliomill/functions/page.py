@@ -432,14 +432,31 @@ def book_meta(url: str, html: str | None) -> dict:
     }
 
 
-def chapter(url: str, html: str | None, title: str = "") -> dict:
-    """Title and blocks of a part's page. A refusal in plain text has no blocks; a bare
-    fragment, as story services send it, is taken whole."""
+#: A story service's text of fewer letters, without images, is looked for in
+#: the rendered page; a refusal says so among its first characters.
+SHORT_LETTERS, REFUSAL_CHARS = 40, 80
+
+
+def _fragment(url: str, html: str | None, title: str) -> list[dict] | None:
+    """Blocks of a bare fragment, as story services send it, taken whole; None for a whole page."""
+    if "<html" in (html or "").lower():
+        return None
+    if "error" in (html or "")[:REFUSAL_CHARS].lower():
+        return []
+    return clean(element_blocks(parse(html).without(is_junk), url), title)
+
+
+def chapter(url: str, html: str | None, title: str = "", rendered: str | None = None) -> dict:
+    """Title and blocks of a part's page. A story service's answer is a bare fragment; a
+    refusal has no blocks, and where an answer has hardly any text the ``rendered`` page, if
+    there is one, is read instead."""
     if adapter_name(url) == "wattpad":
-        if (html or "").lstrip().startswith("ERROR"):
-            return {"title": title, "blocks": []}
-        if "<html" not in (html or "").lower():
-            return {"title": title, "blocks": clean(element_blocks(parse(html).without(is_junk), url), title)}
+        blocks = _fragment(url, html, title)
+        if blocks is not None:
+            enough = len(_SPACES.sub("", plain(blocks))) >= SHORT_LETTERS or any(b["type"] == "img" for b in blocks)
+            if enough or not rendered:
+                return {"title": title, "blocks": blocks}
+            html = rendered
     rules = ADAPTERS.get(adapter_name(url), ADAPTERS["generic"])
     doc = parse(html)
     found = next((t for test in rules.title if (t := sanitize(text_of(doc, test)))), "") or sanitize(meta(doc, "og:title"))

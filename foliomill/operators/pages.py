@@ -43,7 +43,7 @@ def _meta(row: dict) -> dict:
 
 
 def _chapter(row: dict) -> dict:
-    return {"page_id": row["page_id"], "url": row["url"], **page.chapter(row["url"] or "", row["html"])}
+    return {"page_id": row["page_id"], "url": row["url"], **page.chapter(row["url"] or "", row["html"], rendered=row.get("rendered"))}
 
 
 def _links(row: dict) -> list[dict]:
@@ -90,8 +90,9 @@ def page_tags(pages: DataFrame) -> DataFrame:
 
 def page_chapters(pages: DataFrame) -> DataFrame:
     """Title, blocks, text and counts of every page as a part, with its state: done,
-    or empty where nothing was found."""
-    rows = map_rows(pages.select("page_id", "url", "html"), _chapter, CHAPTER)
+    or empty where nothing was found. A column ``rendered``, if there, holds the page as
+    readers see it, for answers of a story service that have hardly any text."""
+    rows = map_rows(pages.select("page_id", "url", "html", *[c for c in pages.columns if c == "rendered"]), _chapter, CHAPTER)
     blocks = B.drop_blank(F.col("blocks"))
     rows = rows.withColumn("blocks", blocks).withColumn("plain_text", B.plain_text(F.col("blocks")))
     images = B.image_count(F.col("blocks"))

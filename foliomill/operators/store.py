@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import blocks as B
-from foliomill.functions.text import trimmed
+from foliomill.functions.text import IMAGE_EXTENSIONS, trimmed
+from foliomill.functions.text import lookup as lookup_value
 
 STATES = ("pending", "fetching", "done", "failed", "empty")
 
@@ -153,6 +154,27 @@ def next_ids(merged: DataFrame, books: DataFrame) -> DataFrame:
     return merged.where("book_id IS NOT NULL").unionByName(filled)
 
 
+def saved_parts(chapters: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parts, index) after a write of contents: the parts with the incoming ones in place
+    of those with their (``book_id``, ``idx``), and one index row of each part with its state,
+    counts and the first 200 characters. Of parts that come several times the last is kept."""
+    parts = current_whole(chapters.join(incoming.select("book_id", "idx").distinct(), ["book_id", "idx"], "left_anti").unionByName(current_whole(incoming), allowMissingColumns=True))
+    index = parts.select("book_id", "idx", "status", "title", "word_count", "char_count", "image_count", F.coalesce("error", F.lit("")).alias("error"), F.left(F.coalesce("plain_text", F.lit("")), F.lit(200)).alias("preview"))
+    return parts, index
+
+
+def replaced_covers(books: DataFrame, covers: DataFrame) -> DataFrame:
+    """Works with the pictures of ``covers`` (``book_id``, ``cover``, ``cover_mime``) in place of
+    their own, bytes untouched, and ``cover_file``, the name of the file that holds it; null
+    where there is none. Covers of unknown works and empty ones change nothing."""
+    new = latest(covers.where(F.length("cover") > 0).select("book_id", F.col("cover").alias("_c"), F.col("cover_mime").alias("_m")), ["book_id"], [F.sha1("_c").alias("h")])
+    joined = books.join(new, "book_id", "left")
+    cover, mime = F.coalesce("_c", "cover"), F.when(F.col("_c").isNotNull(), F.col("_m")).otherwise(F.col("cover_mime"))
+    name = F.concat(F.lit("cover."), lookup_value(IMAGE_EXTENSIONS, F.lower(mime), "img"))
+    rest = [c for c in books.columns if c not in ("cover", "cover_mime", "cover_file")]
+    return joined.select(*rest, cover.alias("cover"), mime.alias("cover_mime"), F.when(F.length(cover) > 0, name).alias("cover_file"))
+
+
 def without_books(books: DataFrame, chapters: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Works and parts without the works of ``gone``."""
     ids = gone.select("book_id").distinct()

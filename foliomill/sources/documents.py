@@ -83,12 +83,13 @@ def story_parts(stories: DataFrame, column: str) -> DataFrame:
     )
 
 
-def write_swapped(df: DataFrame, path: str) -> None:
+def write_swapped(df: DataFrame, path: str, *partitions: str) -> None:
     """Write a Parquet table so that readers see the old or the new one: into a staging
     folder first, then by renames through the cluster's file system."""
     spark = df.sparkSession
     staging, old = f"{path}.staging", f"{path}.old"
-    df.write.mode("overwrite").parquet(staging)
+    out = df.write.mode("overwrite")
+    (out.partitionBy(*partitions) if partitions else out).parquet(staging)
     jvm = spark._jvm
     to = jvm.org.apache.hadoop.fs.Path(path)
     fs = to.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliomill.operators import pages, store
+from foliomill.sources import documents
 
 PAGES = "page_id bigint, url string, html string"
 
@@ -38,6 +39,12 @@ def last_parts(parts: DataFrame) -> DataFrame:
     return store.latest(parts, ["url"], [-F.col("batch"), -F.col("page_id")])
 
 
+def merge_parts(spark: SparkSession, target: str) -> None:
+    """Reduce a table of batches to the last row of each URL, between runs of the stream.
+    Readers see the table before or after; later batches are added as before."""
+    documents.write_swapped(last_parts(spark.read.parquet(target)), target, "batch")
+
+
 def progress(events: DataFrame) -> DataFrame:
     """Parts done, failed and in all by work, of a stream or table of states."""
     return events.groupBy("book_id").agg(

@@ -193,5 +193,8 @@ def test_page_stream(spark, tmp_path):
         progress.upsert_parts(progress.page_stream(spark, src), out, str(tmp_path / "cp")).awaitTermination(120)
     spark.createDataFrame([(3, "https://a.example/1", "<article>newer " + "word " * 60 + "</article>")], progress.PAGES).write.mode("append").parquet(src)
     progress.upsert_parts(progress.page_stream(spark, src), out, str(tmp_path / "cp")).awaitTermination(120)
+    want = sorted(map(repr, progress.last_parts(spark.read.parquet(out)).collect()))
+    progress.merge_parts(spark, out)
+    assert sorted(map(repr, progress.last_parts(spark.read.parquet(out)).collect())) == want and spark.read.parquet(out).count() == 2
     rows = {r["url"]: r for r in progress.last_parts(spark.read.parquet(out)).collect()}
     assert rows["https://a.example/1"]["plain_text"].startswith("newer") and rows["https://a.example/2"]["status"] == "empty"

@@ -81,3 +81,14 @@ def test_embedded_and_dumps():
     assert parse_dump("array ( 'a' => array ( 0 => 'x', 1 => 'it\\'s' ), 'b' => true, 'c' => NULL, 'd' => 1.5 )") == {"a": ["x", "it's"], "b": True, "c": None, "d": 1.5}
     assert parse_dump("array ( 1 => 'b', 0 => 'a'") == ["a", "b"]
     assert loose_json('{"a": 1}') == {"a": 1} and loose_json("<html>") is None and loose_json(None) is None
+
+
+def test_short_answers_are_read_from_the_rendered_page():
+    url = "https://www.wattpad.com/123456789-part"
+    said = "<p>" + "The miller opened the door and went out. " * 3 + "</p>"
+    whole = f"<html><body><h1>Part One</h1><article>{said}</article></body></html>"
+    assert page.chapter(url, said, "T")["title"] == "T" and len(page.chapter(url, said, "T", whole)["blocks"]) == 1
+    got = page.chapter(url, "<p>short</p>", "T", whole)
+    assert got["title"] == "Part One" and "miller" in got["blocks"][0]["text"]
+    assert page.chapter(url, "<p>short</p>", "T")["blocks"][0]["text"] == "short"
+    assert page.chapter(url, "{error: no}", "T")["blocks"] == [] and page.chapter(url, None, "T")["blocks"] == []

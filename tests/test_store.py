@@ -152,3 +152,19 @@ def test_budget_ends_where_it_is_passed(spark):
     df = spark.createDataFrame([(1, k, 150 if k != 2 else None) for k in range(6)] + [(2, 0, 500)], "g int, idx int, size int")
     got = ranking.within_budget(df, "g", [F.col("idx")], ranking.ranges(F.col("idx")), "size", 400, 400).collect()
     assert sorted((r["g"], r["idx"], r["running"], r["n"]) for r in got) == [(1, 0, 150, 1), (1, 1, 300, 2), (1, 2, 300, 3)]
+
+
+def test_saved_parts_and_index(make_chapters):
+    old = make_chapters([dict(chapter_id=k, idx=k, plain_text="old", status="pending") for k in (1, 2)])
+    new = make_chapters([dict(chapter_id=9, idx=2, plain_text="x" * 300, word_count=1, fetched_at=dt.datetime(2024, 1, 2)), dict(chapter_id=8, idx=2, plain_text="older"), dict(chapter_id=7, idx=3, plain_text=None, error="gone")])
+    parts, index = store.saved_parts(old, new)
+    assert {(r["idx"], r["chapter_id"]) for r in parts.collect()} == {(1, 1), (2, 9), (3, 7)}
+    assert {r["idx"]: (len(r["preview"]), r["error"]) for r in index.collect()} == {1: (3, ""), 2: (200, ""), 3: (0, "gone")}
+    assert store.saved_parts(old, new.where("false"))[0].count() == 2 and store.saved_parts(old.where("false"), new)[0].count() == 2
+
+
+def test_replaced_covers(make_books, spark):
+    books = make_books([dict(book_id=1, cover=b"a", cover_mime="image/png"), dict(book_id=2), dict(book_id=3, cover=b"c", cover_mime="image/gif"), dict(book_id=4)])
+    covers = spark.createDataFrame([(1, b"z", "image/webp"), (2, b"y", "application/x"), (2, b"y", "application/x"), (3, b"", "image/png"), (77, b"q", "image/png"), (4, None, None)], "book_id bigint, cover binary, cover_mime string")
+    got = {r["book_id"]: (r["cover"], r["cover_file"]) for r in store.replaced_covers(books, covers).collect()}
+    assert {k: (v and bytes(v), f) for k, (v, f) in got.items()} == {1: (b"z", "cover.webp"), 2: (b"y", "cover.img"), 3: (b"c", "cover.gif"), 4: (None, None)}
