@@ -34,14 +34,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return name if "/" in name else str(Path("/opt/tokenizers") / name)
 
 
-def _encoder(path: str) -> Callable[[str], int]:
+def _encoder(vocabulary: bytes) -> Callable[[str], int]:
     import base64
 
     import tiktoken
 
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     encoding = tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return lambda text: len(encoding.encode_ordinary(text))
 
@@ -53,10 +52,12 @@ def quality_weight(text: str) -> float:
 
 
 def sized_documents(documents: DataFrame, path: str) -> DataFrame:
-    """``doc_id``, ``source``, ``tokens``, ``weight`` of documents with text and source."""
+    """``doc_id``, ``source``, ``tokens``, ``weight`` of documents with text and source. The
+    vocabulary, a file of fixed size, is read by the driver and sent to the executors."""
+    sent = documents.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def make() -> Callable:
-        count = _encoder(path)
+        count = _encoder(sent.value)
 
         def run(cols: dict[str, list]) -> dict[str, list]:
             texts = cols["text"]
