@@ -26,6 +26,7 @@ JUNK_NAMES = re.compile(
 )
 AD_CLASS = re.compile(r"(?:^|\s)(?:ad|ads|advertisement)(?:\s|$)", re.I)
 JUNK_IMAGE = re.compile("sprite|icon|avatar|emoji|logo|badge|pixel|1x1|spacer|placeholder")
+#: Words of navigation, calls, a site's own pages, parts, facts and covers.
 NOISE_LINE = re.compile(r"(?:الفصل|الجزء|chapter|chapitre|part|episode)\s*(?:السابق|التالي|previous|next|précédent|suivant)?\s*", re.I)
 NOISE_EXACT = re.compile(
     "السابق|التالي|الفصل السابق|الفصل التالي|مشاركة|الإبلاغ|إبلاغ|تعليقات|رد|إعجاب|views?|likes?|comments?|share|report|next|previous|prev|next chapter|previous chapter|chapter list|فهرس الفصول|قائمة الفصول|<|>",

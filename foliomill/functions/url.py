@@ -92,12 +92,12 @@ def story_id(url: Column) -> Column:
 
 def chapter_like(url: Column, label: Column) -> Column:
     """Whether a link looks like one to a part of a work: a chapter word in it, or a
-    digit in a path of at least two levels."""
+    digit in a path of at least two levels. The words are fixed values."""
     word = F.concat_ws(" ", url, label).rlike(r"(?iu)chapter|chapitre|capitulo|capítulo|part|partie|episode|ep\b|read|فصل|جزء|قراءة")
     path = F.regexp_extract(url, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
     return word | (path.rlike(r"\d") & (F.size(F.split(path, "/")) >= 3))
 
 
 def listing_blacklist(url: Column) -> Column:
-    """Whether a link leads to a site's own pages."""
+    """Whether a link leads to a site's own pages; the words are fixed values."""
     return url.rlike("(?iu)login|signin|register|signup|privacy|terms|contact|about|dmca|policy|tag|genre|category|search|دخول|تسجيل|سياسة|اتصل|حول|تصنيف")
