@@ -103,7 +103,9 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
     documents, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    return reading.reading_levels(documents, shared_model(spark, d, "p10", ("documents", "labels"), lambda: reading.fit(documents, labels)))
+    # kept as bytes, as its tables are large and mostly zeros
+    saved = shared_model(spark, d, "p10", ("documents", "labels"), lambda: reading.fit(documents, labels).save())
+    return reading.reading_levels(documents, reading.ReadingModel.load(saved))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -495,6 +495,67 @@ def test_levels(spark):
     assert reading.reading_levels(docs, reading.fit(docs, labels.where("false"))).count() == 0 and reading.reading_levels(docs.where("false"), reading.fit(docs, labels)).count() == 0
 
 
+def test_every_graded_document_trains_the_model(spark):
+    rng = random.Random(8)
+    text = lambda k: " ".join(rng.choices(["river", "window", "notwithstanding", "cat", "although", "garden", "the", "a"][k % 4 : k % 4 + 4], k=9)) + ". rare" + "".join("abcdefghij"[int(c)] for c in str(k // 2))
+    texts = [text(k) for k in range(2_399)] + ["cat"]  # some are equal, so scores tie
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    grades = [(k, float(1 + k % 4)) for k in range(len(texts))] + [(5, 3.0), (9_999, 4.0)]
+    labels = spark.createDataFrame(grades, "doc_id bigint, reading_level double")
+    model = reading.fit(docs.repartition(5), labels.repartition(3))
+    brute = reading.ReadingModel([(t, 2.5 if k == 5 else float(1 + k % 4)) for k, t in enumerate(texts)])
+    assert sum(model.totals) == sum(len(reading.tokens(t)) for t in texts[:-1]) and model.totals == brute.totals
+    assert model.vocabulary == brute.vocabulary and "rareh" in model.vocabulary
+    assert all(np.array_equal(getattr(a, part), getattr(b, part)) for a, b in zip(model.models, brute.models) for part in ("uni", "bi", "tri"))
+    assert len(model.knots) == 3 and all(np.allclose(a, b) for m, n in zip(model.knots, brute.knots) for a, b in zip(m, n))
+
+
+def test_documents_are_scored_without_themselves():
+    docs = [PROSE["en"], PROSE["en"] + " " + PROSE["fr"], "the old miller", PROSE["de"], "", PROSE["en"]]
+    levels = [0, 1, 0, 2, 3, 0]
+    model = reading.ReadingModel([(d, k + 1.0) for d, k in zip(docs, levels)])
+    ids = [model.encode(reading.tokens(d)) for d in docs]
+    got = model.batch_scores(ids, levels)
+    for k, (a, level) in enumerate(zip(ids, levels)):
+        rest = reading.ReadingModel([])
+        rest.start(model.vocabulary, 0)
+        for j, b in enumerate(ids):
+            if j != k and len(b) > 2:
+                rest.models[levels[j]].add(b)
+        rest.totals = [float(m.uni.sum()) for m in rest.models]
+        assert np.allclose(got[k], rest.scores(a), atol=1e-5)  # 32-bit numbers
+
+
+def test_stretches_pool_to_the_same_fit():
+    rng = random.Random(3)
+    points = [(float(x), float(x), rng.randint(0, n), n) for x, n in ((x, rng.randint(1, 4)) for x in range(90))]
+    whole, joined = reading.Pooled(), reading.Pooled()
+    for p in points:
+        whole.add(*p)
+    for a in range(0, 90, 13):
+        part = reading.Pooled()
+        for p in points[a : a + 13]:
+            part.add(*p)
+        for b in part.blocks:
+            joined.add(*b)
+    assert whole.blocks == joined.blocks
+    # equal scores are one point, whatever their order
+    for y in ([0, 0, 1], [0, 1, 0]):
+        knots, values = reading.isotonic(np.array([1.0, 2, 2]), np.array(y, float))
+        assert np.interp(1, knots, values) == 0 and np.interp(2, knots, values) == 0.5
+
+
+def test_counts_that_collide_are_bounded():
+    model = reading.NGrams(50, slots=64)
+    ids = np.array([random.Random(k).randrange(50) for k in range(3_000)])
+    model.add(ids)
+    new = np.array([1, 2, 49])
+    model.uni[2] = 0  # a word never seen has no pair or triple, whatever shares their slots
+    h2, h3 = reading._hash(64, new[:-1], new[1:]), reading._hash(64, new[:-2], new[1:-1], new[2:])
+    p1 = (model.uni[49] + 0.1) / (3_000 + 5)
+    assert np.isclose(model.surprisal(new, h2, h3, 3_000.0)[0], -np.log(reading.LAMBDA[2] * p1 + reading.LAMBDA[3] / 50))
+
+
 def test_models_can_be_saved(spark, field, tmp_path):
     from foliomill.llm.common import load_model, save_model
 
